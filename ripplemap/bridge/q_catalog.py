@@ -11,7 +11,7 @@ from ripplemap.functions.typing import type_family
 from ripplemap.functions.urn import dataset_urn, field_urn, registry_urn, urn_name, urn_platform
 from ripplemap.marts.segments import customer_segments
 from ripplemap.operators import annotate, catalog, decisions, expand, search
-from ripplemap.plans.session import scratch
+from ripplemap.plans.session import scratch, stored
 from ripplemap.sources import readers, sinks
 
 # --- sources and sinks ----------------------------------------------------
@@ -86,7 +86,7 @@ def _cube(d: Driver) -> DataFrame:
     roots = d.entities().select("urn")
     return expand.closure_cube(
         roots, d.profile_edges, d.profile_column_edges, ["key", "missing"], list(PROFILES),
-        hubs=d.hubs,
+        hubs=d.hubs, keep=stored,
     )
 
 
@@ -474,7 +474,7 @@ def _(d: Driver) -> DataFrame:
     cube = expand.closure_cube(
         search.lookup(d.entities(), asked.select(F.col("root_urn").alias("urn"))),
         d.profile_edges, d.profile_column_edges, ["key"], list(PROFILES),
-        hubs=d.hubs,
+        hubs=d.hubs, keep=stored,
     )
     return search.lineage(cube, asked, name_filter="ORDER")
 
@@ -556,7 +556,7 @@ def _(d: Driver) -> DataFrame:
     roots = search.lookup(d.entities(), rooted.select(F.col("root_urn").alias("urn"))).select("urn")
     cube = expand.closure_cube(
         roots, d.profile_edges, d.profile_column_edges, ["key", "missing"], list(PROFILES),
-        hubs=d.hubs,
+        hubs=d.hubs, keep=stored,
     )
     return search.keyed_closure(asked, cube)
 

@@ -117,3 +117,34 @@ QUALIFY row_number() OVER (ORDER BY md5('seed-42' || payment_id), payment_id) <=
 def _(d: Driver) -> DataFrame:
     payments = d.raw_payments().select("payment_id", "amount_cents")
     return facts.seeded_share(payments, "payment_id", 0.08, "seed-42")
+
+
+# Models of the combined check; inputs in braces.
+CHECK_MODELS = {
+    "shop_orders": "SELECT order_id, cust_id, order_date FROM {stg_orders}",
+    "order_counts": "SELECT cust_id, count(*) AS orders, min(order_date) AS since FROM {shop_orders} GROUP BY cust_id",
+    "paid_orders": "SELECT p.order_id, o.cust_id, p.amount_usd FROM {stg_payments} p "
+    "JOIN {shop_orders} o ON o.order_id = p.order_id",
+    "order_days": "SELECT order_date, count(*) AS orders FROM {shop_orders} GROUP BY order_date",
+}
+
+
+@query(
+    "m15_combined_check",
+    """SELECT variant, model, attempt, exit_code, CASE WHEN exit_code = 0 THEN n END AS "rows", exit_code = 0 AS matches
+FROM (SELECT * FROM (VALUES ('change_only', 1), ('change_and_edits', 2)) v(variant, attempt)) v
+CROSS JOIN (
+  SELECT 'shop_orders' AS model, false AS reads, count(*) AS n FROM fx_stg_orders
+  UNION ALL SELECT 'order_counts', true, count(DISTINCT cust_id) FROM fx_stg_orders
+  UNION ALL SELECT 'paid_orders', true, count(*) FROM fx_stg_payments
+  UNION ALL SELECT 'order_days', false, count(DISTINCT order_date) FROM fx_stg_orders) m
+CROSS JOIN LATERAL (SELECT CASE WHEN v.variant = 'change_only' AND m.reads THEN 1 ELSE 0 END AS exit_code)""",
+)
+def _(d: Driver) -> DataFrame:
+    from ripplemap.plans.combined import combined_check
+
+    s = d.staging()
+    inputs = {"stg_orders": s["stg_orders"], "stg_payments": s["stg_payments"]}
+    change = {"model": "shop_orders", "column": "cust_id", "new_value": "customer_id"}
+    checked = combined_check(d.spark, inputs, CHECK_MODELS, change, ["order_counts", "paid_orders"])
+    return checked.drop("output_tail")

@@ -147,7 +147,9 @@ class Driver:
 
     @cached_property
     def hubs(self) -> DataFrame | None:
-        return if_any(expand.link_hubs(self.profile_edges), self.profile_edges, ROWS_PER_SHARD)
+        return if_any(
+            expand.link_hubs(self.profile_edges, list(PROFILES)), self.profile_edges, ROWS_PER_SHARD
+        )
 
     def catalog(self) -> Catalog:
         return Catalog(

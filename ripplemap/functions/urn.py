@@ -31,3 +31,24 @@ def urn_platform(urn: Column) -> Column:
 
 def urn_name(urn: Column) -> Column:
     return _part(urn, 2)
+
+
+_HEAD = "urn:li:dataset:(urn:li:dataPlatform:"
+_TAIL = f",{ENV})"
+
+
+def compact(urn: Column) -> Column:
+    """Short join key of a dataset URN: ``platform,name``. Any other text stays as it is.
+
+    Keys are a third of the length of URNs, which is what the expansion shuffles. ``expanded`` is
+    the exact inverse: texts that a short key could be mistaken for are not shortened.
+    """
+    short = F.substr(urn, F.lit(len(_HEAD) + 1), F.length(urn) - (len(_HEAD) + len(_TAIL)))
+    fits = urn.startswith(_HEAD) & urn.endswith(_TAIL) & ~urn.startswith(_HEAD + "urn:")
+    return F.when(fits, short).otherwise(F.concat(F.lit("urn:"), urn))
+
+
+def expanded(key: Column) -> Column:
+    return F.when(key.startswith("urn:"), F.substring(key, 5, 2_147_483_647)).otherwise(
+        F.concat(F.lit(_HEAD), key, F.lit(_TAIL))
+    )

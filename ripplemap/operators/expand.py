@@ -1,22 +1,27 @@
 """Bounded graph expansion of many roots at once.
 
-One walk serves both directions: edges are laid out as links (direction, source, destination) and
-each hop is one equi-join of the frontier with the links. The frontier is made distinct before
-every join. First-discovery hop and the evidence of the discovering edge travel as one integer,
+One walk serves both directions and all profiles: edges are laid out as links (lane, source,
+destination), a lane being one profile and direction, and each hop is one equi-join of the frontier
+with the links. The frontier is made distinct before every join. Inside the walk entities go by
+their compact keys. First-discovery hop and the evidence of the discovering edge travel as one integer,
 ``code = hop * 4 + rank``, so a plain ``min`` keeps the earliest and strongest.
 
 With a column, hop 1 comes from the column edges only and hops 2-3 are table-level closures from
 the root, so a table-level neighbour outside the column edges counts as hop 2.
 """
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.functions.constants import MAX_HOPS, PROVENANCES
-from ripplemap.functions.urn import urn_name
+from ripplemap.functions.urn import compact, expanded, urn_name
 from ripplemap.operators.skew import ROWS_PER_SHARD, hot_keys, repeat_rows, shard_key, split_rows
 
-_KEY = ["profile", "dir", "src"]
+Keep = Callable[[DataFrame, str], DataFrame]
+_KEY = ["lane", "src"]
 _SCOPE = ["profile", "scope_id"]
 
 
@@ -25,46 +30,59 @@ def _rank(provenance: Column) -> Column:
     return rank.otherwise(2)
 
 
-def _links(edges: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """Each edge once per direction."""
-    ends = [
-        F.struct(F.lit("down").alias("dir"), F.col("up_urn").alias("src"), F.col("down_urn").alias("dst")),
-        F.struct(F.lit("up").alias("dir"), F.col("down_urn").alias("src"), F.col("up_urn").alias("dst")),
-    ]
-    return edges.select("profile", *extra, F.explode(F.array(*ends)).alias("l")).select(
-        "profile", "l.dir", "l.src", "l.dst", *extra
-    )
+def _lane(profile: Column, down: int, profiles: list[str]) -> Column:
+    """Profile and direction as one small integer: even lanes go down, odd ones up."""
+    lane = F.when(profile == profiles[0], 0 if down else 1)
+    for place, name in enumerate(profiles[1:], start=1):
+        lane = lane.when(profile == name, 2 * place + (0 if down else 1))
+    return lane
 
 
-def link_hubs(edges: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Nodes with more links in one direction than a task should hold; at most ``HOT_KEYS`` rows."""
-    counts = _links(edges).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
-    return hot_keys(counts, _KEY, "n", rows_per_shard)
+def _profile_of(place: Column, profiles: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in profiles]), place + 1)
+
+
+def _place(lane: Column) -> Column:
+    return F.shiftright(lane, 1)
+
+
+def _unkept(df: DataFrame, name: str) -> DataFrame:
+    return df
 
 
-def _column_links(column_edges: DataFrame) -> DataFrame:
-    ends = [
-        F.struct(
-            F.lit("down").alias("dir"), F.col("up_urn").alias("src"), F.col("up_col").alias("src_col"),
-            F.col("down_urn").alias("dst"), F.col("down_col").alias("dst_col"),
-        ),
-        F.struct(
-            F.lit("up").alias("dir"), F.col("down_urn").alias("src"), F.col("down_col").alias("src_col"),
-            F.col("up_urn").alias("dst"), F.col("up_col").alias("dst_col"),
-        ),
-    ]
-    return column_edges.select(
-        "profile", _rank(F.col("provenance")).alias("rank"), F.explode(F.array(*ends)).alias("l")
-    ).select("profile", "l.*", "rank")
+def _links(edges: DataFrame, profiles: list[str]) -> DataFrame:
+    """Each edge once per direction: (lane, src, dst, rank) on compact keys."""
+    up, down = compact(F.col("up_urn")), compact(F.col("down_urn"))
+    profile, rank = F.col("profile"), _rank(F.col("provenance")).alias("rank")
+    forth = edges.select(_lane(profile, True, profiles).alias("lane"), up.alias("src"), down.alias("dst"), rank)
+    back = edges.select(_lane(profile, False, profiles).alias("lane"), down.alias("src"), up.alias("dst"), rank)
+    return forth.unionByName(back)
 
 
-def _starts(scopes: DataFrame, profiles: list[str]) -> DataFrame:
-    return scopes.select(
-        "scope_id",
-        F.col("root_urn").alias("src"),
-        "column",
-        F.explode(F.array(*[F.lit(p) for p in profiles])).alias("profile"),
-    ).withColumn("dir", F.explode(F.array(F.lit("down"), F.lit("up"))))
+def _column_links(column_edges: DataFrame, profiles: list[str]) -> DataFrame:
+    up, down = compact(F.col("up_urn")), compact(F.col("down_urn"))
+    profile, rank = F.col("profile"), _rank(F.col("provenance")).alias("rank")
+    forth = column_edges.select(
+        _lane(profile, True, profiles).alias("lane"), up.alias("src"), F.col("up_col").alias("src_col"),
+        down.alias("dst"), F.col("down_col").alias("dst_col"), rank,
+    )
+    back = column_edges.select(
+        _lane(profile, False, profiles).alias("lane"), down.alias("src"), F.col("down_col").alias("src_col"),
+        up.alias("dst"), F.col("up_col").alias("dst_col"), rank,
+    )
+    return forth.unionByName(back)
+
+
+def link_hubs(
+    edges: DataFrame, profiles: list[str], rows_per_shard: int = ROWS_PER_SHARD
+) -> DataFrame:
+    """Nodes with more links in one direction than a task should hold; at most ``HOT_KEYS`` rows."""
+    counts = _links(edges, profiles).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    return hot_keys(counts, _KEY, "n", rows_per_shard)
+
+
+def _all_lanes(profiles: list[str]) -> Column:
+    return F.explode(F.array(*[F.lit(i) for i in range(2 * len(profiles))]))
 
 
 def closure(
@@ -74,30 +92,34 @@ def closure(
     profiles: list[str],
     max_hops: int = MAX_HOPS,
     hubs: DataFrame | None = None,
+    keep: Keep = _unkept,
 ) -> DataFrame:
     """Candidates (profile, scope_id, urn, down_code, up_code) within ``max_hops``; root has code 0.
 
     ``edges`` and ``column_edges`` carry a ``profile`` column. Nodes with very many links (``hubs``)
     are split over shards so that one hub cannot fill a task; None says that there are none.
+    ``keep(df, name)`` may write each hop to a table, so that later hops read it instead of
+    computing it again.
     """
-    links = _links(edges.withColumn("rank", _rank(F.col("provenance"))), ["rank"])
-    sharded = split_rows(links, hubs, _KEY, "dst")
-
-    starts = _starts(scopes, profiles)
+    sharded = split_rows(keep(_links(edges, profiles), "links"), hubs, _KEY, "dst")
+    starts = scopes.select(
+        "scope_id", compact(F.col("root_urn")).alias("src"), "column", _all_lanes(profiles).alias("lane")
+    )
     scoped = starts.filter(F.col("column") != "")
     first = (
         scoped.withColumnRenamed("column", "src_col")
-        .join(_column_links(column_edges), _KEY + ["src_col"])
-        .select("profile", "dir", "scope_id", "dst", "rank")
+        .join(_column_links(column_edges, profiles), _KEY + ["src_col"])
+        .select("lane", "scope_id", "dst", "rank")
     )
+    first = keep(first, "column_hop")
     # A scoped start whose column reaches nothing stops there.
     alive = starts.filter(F.col("column") == "").unionByName(
-        scoped.join(first, ["profile", "dir", "scope_id"], "left_semi")
+        scoped.join(first.select("lane", "scope_id").distinct(), ["lane", "scope_id"], "left_semi")
     )
 
     found = [
-        starts.select(*_SCOPE, "dir", F.col("src").alias("urn"), F.lit(0).alias("code")),
-        first.select(*_SCOPE, "dir", F.col("dst").alias("urn"), (F.lit(4) + F.col("rank")).alias("code")),
+        starts.select("lane", "scope_id", F.col("src").alias("at"), F.lit(0).alias("code")),
+        first.select("lane", "scope_id", F.col("dst").alias("at"), (F.lit(4) + F.col("rank")).alias("code")),
     ]
     frontier = alive.select(
         *_KEY, "scope_id", F.when(F.col("column") == "", 1).otherwise(2).alias("least")
@@ -106,23 +128,31 @@ def closure(
         step = (
             repeat_rows(frontier, hubs, _KEY)
             .join(sharded, _KEY + shard_key(hubs))
-            .select("profile", "dir", "scope_id", "least", "dst", "rank")
+            .select("lane", "scope_id", "least", "dst", "rank")
+        )
+        step = keep(step, f"hop_{hop}")
+        reached = F.greatest(F.lit(hop), F.col("least"))
+        kept = step.filter(reached <= max_hops)
+        found.append(
+            kept.select("lane", "scope_id", F.col("dst").alias("at"), (reached * 4 + F.col("rank")).alias("code"))
         )
-        reached = F.greatest(F.lit(hop), F.col("least")) * 4 + F.col("rank")
-        if hop == 1 and max_hops == 1:
-            step = step.filter(F.col("least") == 1)
-        found.append(step.select(*_SCOPE, "dir", F.col("dst").alias("urn"), reached.alias("code")))
-        frontier = step.select(
-            "profile", "dir", F.col("dst").alias("src"), "scope_id", "least"
-        ).distinct()
+        frontier = step.select("lane", F.col("dst").alias("src"), "scope_id", "least").distinct()
 
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
-    return every.groupBy(*_SCOPE, "urn").agg(
-        F.min(F.when(F.col("dir") == "down", F.col("code"))).alias("down_code"),
-        F.min(F.when(F.col("dir") == "up", F.col("code"))).alias("up_code"),
-    )
+    is_down = F.col("lane").bitwiseAND(1) == 0
+    return (
+        every.groupBy(_place(F.col("lane")).alias("place"), "scope_id", "at")
+        .agg(
+            F.min(F.when(is_down, F.col("code"))).alias("down_code"),
+            F.min(F.when(~is_down, F.col("code"))).alias("up_code"),
+        )
+        .select(
+            _profile_of(F.col("place"), profiles).alias("profile"), "scope_id",
+            expanded(F.col("at")).alias("urn"), "down_code", "up_code",
+        )
+    )
 
 
 def hop_limits(candidates: DataFrame) -> DataFrame:
@@ -240,50 +270,52 @@ def with_trace(sub: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def closure_cube(
     roots: DataFrame, edges: DataFrame, column_edges: DataFrame, columns: list[str],
-    profiles: list[str], max_hops: int = MAX_HOPS, hubs: DataFrame | None = None,
+    profiles: list[str], max_hops: int = MAX_HOPS, hubs: DataFrame | None = None, keep: Keep = _unkept,
 ) -> DataFrame:
     """(profile, root_urn, dir, column, hops, urn) for hops 1..max; the column holds at every depth.
 
     ``column`` is '*' for the table level. Distances are computed once; the cube repeats each
     entity for every hop count that includes it. The root itself is not listed.
     """
-    starts = roots.select(
-        F.col("urn").alias("root_urn"), F.explode(F.array(*[F.lit(p) for p in profiles])).alias("profile")
-    )
-    table_links = split_rows(_links(edges), hubs, _KEY, "dst")
-    col_links = split_rows(_column_links(column_edges).drop("rank"), hubs, _KEY, "dst")
-
-    def walk(frontier: DataFrame, links: DataFrame, on: list[str], node: list[str]) -> DataFrame:
-        out = None
+    links = keep(_links(edges, profiles).drop("rank"), "links")
+    column_links = keep(_column_links(column_edges, profiles).drop("rank"), "column_links")
+    table_links = split_rows(links, hubs, _KEY, "dst")
+    col_links = split_rows(column_links, hubs, _KEY, "dst")
+    root = compact(F.col("urn"))
+    both = roots.select(root.alias("root"), root.alias("src"), _all_lanes(profiles).alias("lane"))
+
+    def walk(frontier: DataFrame, links: DataFrame, on: list[str], node: list[str]) -> list[DataFrame]:
+        levels = []
         for hop in range(1, max_hops + 1):
-            step = (
+            frontier = (
                 repeat_rows(frontier, hubs, _KEY)
                 .join(links, on + shard_key(hubs))
-                .select("profile", "dir", "root_urn", "column",
-                        *[F.col(f"dst{c}").alias(f"src{c}") for c in node])
+                .select("lane", "root", "column", *[F.col(f"dst{c}").alias(f"src{c}") for c in node])
                 .distinct()
-            )
-            rows = step.select(
-                "profile", "dir", "root_urn", "column", F.col("src").alias("urn"), F.lit(hop).alias("d")
             )
-            out = rows if out is None else out.unionByName(rows)
-            frontier = step
-        return out
+            frontier = keep(frontier, f"level_{hop}")
+            levels.append(
+                frontier.select("lane", "root", "column", F.col("src").alias("at"), F.lit(hop).alias("d"))
+            )
+        return levels
 
-    both = starts.withColumn("dir", F.explode(F.array(F.lit("down"), F.lit("up")))).withColumn(
-        "src", F.col("root_urn")
-    )
     table = walk(both.withColumn("column", F.lit("*")), table_links, _KEY, [""])
     scoped = walk(
         both.withColumn("column", F.explode(F.array(*[F.lit(c) for c in columns])))
         .withColumn("src_col", F.col("column")),
         col_links, _KEY + ["src_col"], ["", "_col"],
     )
+    every = reduce(DataFrame.unionByName, table + scoped)
     return (
-        table.unionByName(scoped)
-        .filter(F.col("urn") != F.col("root_urn"))
-        .groupBy("profile", "root_urn", "dir", "column", "urn")
+        every.filter(F.col("at") != F.col("root"))
+        .groupBy("lane", "root", "column", "at")
         .agg(F.min("d").alias("d"))
-        .withColumn("hops", F.explode(F.sequence(F.col("d"), F.lit(max_hops))))
-        .drop("d")
+        .select(
+            _profile_of(_place(F.col("lane")), profiles).alias("profile"),
+            expanded(F.col("root")).alias("root_urn"),
+            F.when(F.col("lane") % 2 == 0, "down").otherwise("up").alias("dir"),
+            "column",
+            F.explode(F.sequence(F.col("d"), F.lit(max_hops))).alias("hops"),
+            expanded(F.col("at")).alias("urn"),
+        )
     )

@@ -82,13 +82,16 @@ class Review:
 
     @cached_property
     def hubs(self) -> DataFrame | None:
-        edges = self.catalog.edges
-        return if_any(expand.link_hubs(edges, self.rows_per_shard), edges, self.rows_per_shard)
+        edges, n = self.catalog.edges, self.rows_per_shard
+        return if_any(expand.link_hubs(edges, list(self.catalog.profiles), n), edges, n)
 
     def subgraph_of(self, scopes: DataFrame) -> DataFrame:
         c = self.catalog
         closure = stored(
-            expand.closure(scopes, c.edges, c.column_edges, list(c.profiles), hubs=self.hubs), "closure"
+            expand.closure(
+                scopes, c.edges, c.column_edges, list(c.profiles), hubs=self.hubs, keep=stored
+            ),
+            "closure",
         )
         trims = stored(expand.trimmed_scopes(closure), "trimmed")
         self.closure_rows = closure

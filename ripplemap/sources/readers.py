@@ -17,10 +17,7 @@ SNAPSHOT_SCHEMA = (
 def model_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``.sql`` file below ``folder``, one per model name."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.sql")
-        .text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("sql_text"))
     )
     return one_per_stem(files)
@@ -38,10 +35,9 @@ def one_per_stem(files: DataFrame) -> DataFrame:
 
 def diffs(spark: SparkSession, path: str, separator: str | None = DIFF_BREAK) -> DataFrame:
     """Diff texts: one per ``diff --git`` block of concatenated feeds, or one per whole file."""
-    reader = spark.read
     if separator is None:
-        return reader.option("wholetext", True).text(path).select(F.col("value").alias("text"))
-    rows = reader.option("lineSep", separator).text(path).select(F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    rows = spark.read.text(path, lineSep=separator).select(F.col("value").alias("text"))
     return rows.filter(F.trim("text") != "")
 
 
