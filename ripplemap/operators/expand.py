@@ -282,7 +282,8 @@ def closure_cube(
     table_links = split_rows(links, hubs, _KEY, "dst")
     col_links = split_rows(column_links, hubs, _KEY, "dst")
     root = compact(F.col("urn"))
-    both = roots.select(root.alias("root"), root.alias("src"), _all_lanes(profiles).alias("lane"))
+    named = keep(roots.select(root.alias("root")), "roots")
+    both = named.select("root", F.col("root").alias("src"), _all_lanes(profiles).alias("lane"))
 
     def walk(frontier: DataFrame, links: DataFrame, on: list[str], node: list[str]) -> list[DataFrame]:
         levels = []

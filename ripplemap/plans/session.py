@@ -11,8 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Hash instead of sort-merge joins, only where every partition is measured below this size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    # Hash instead of sort-merge joins, only where every partition is measured below this size
+    # (takes effect only when it is not below the advisory size).
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
