@@ -51,8 +51,3 @@ def dotted(model: Column, column: Column) -> Column:
 
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.sql$", "")
-
-
-def double_text(value: Column) -> Column:
-    """Scores have at most three decimals; print them the way JSON does."""
-    return value.cast("string")
