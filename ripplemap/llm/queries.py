@@ -28,8 +28,8 @@ OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), p AS (
   SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5
