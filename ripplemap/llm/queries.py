@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import quality, secrets
+from ripplemap.llm import quality, secrets, simhash
 from ripplemap.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed(base()), 256).alias("base_sha256"),
         secrets.listed(F.col("found")).alias("spans"),
     )
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
