@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import quality, secrets, simhash
+from ripplemap.llm import decontam, quality, secrets, simhash
 from ripplemap.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query("op1_benchmark_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds, exactly or nearly."""
+    found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
