@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import decontam, quality, secrets, simhash
+from ripplemap.llm import decontam, pieces_bpe, quality, secrets, simhash
 from ripplemap.llm.common import table
 
+# Files of public tokenizers, where this machine has them.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -108,3 +112,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document and benchmark item that it holds, exactly or nearly."""
     found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    made = pieces_bpe.round_trip(table(spark, folder, "documents"), PIECE_MODEL)
+    return made.select(
+        F.col("key").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
