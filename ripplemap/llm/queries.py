@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import decontam, pieces_bpe, quality, secrets, simhash
+from ripplemap.llm import decontam, pieces_bpe, quality, secrets, sharding, simhash, tokenfile
 from ripplemap.llm.common import table
 
 # Files of public tokenizers, where this machine has them.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +124,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = tokenfile.write(table(spark, folder, "documents"), WORD_TOKENIZER, end=2)
+    return tokenfile.read(manifest).withColumnsRenamed({"key": "doc_id", "crc": "ids_crc32"})
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shards(table(spark, folder, "documents"), n_shards=24)
+    return placed.select(
+        F.col("key").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
