@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import decontam, pieces_bpe, quality, secrets, sharding, simhash, tokenfile
+from ripplemap.llm import (
+    decontam,
+    pieces_bpe,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    tokenfile,
+    warc,
+)
 from ripplemap.llm.common import table
 
 # Files of public tokenizers, where this machine has them.
@@ -144,3 +153,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, folder, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
