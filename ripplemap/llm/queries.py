@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplemap.llm import (
+    chat,
     decontam,
     pieces_bpe,
     quality,
@@ -19,6 +20,7 @@ from ripplemap.llm import (
     warc,
 )
 from ripplemap.llm.common import table
+from ripplemap.plans.session import stored
 
 # Files of public tokenizers, where this machine has them.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -161,3 +163,78 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+         length(role || text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g'))
+         + length(regexp_replace(role, '[^\n]', '', 'g')) + 14 AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(length(loss))::BIGINT AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _log(turns: DataFrame) -> DataFrame:
+    """An event log that ends in the given turns.
+
+    All texts come in two deltas. By turn, some are regenerated after a first draft, and some are
+    edited after one. Rows of one conversation and turn are messages of their own.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = turns.select(
+        F.col("conv_id").alias("conversation"),
+        F.struct("turn", F.row_number().over(order).alias("nth")).alias("message"),
+        "role",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3)).alias("way"),
+    )
+    half = F.floor(F.length("text") / 2).cast("int")
+    draft = F.reverse("text")
+    deltas = [
+        (chat.DELTA, F.substring(F.col("text"), F.lit(1), half)),
+        (chat.DELTA, F.substring(F.col("text"), half + 1, F.length("text"))),
+    ]
+    empty = F.lit(None).cast("string")
+    ways = {
+        0: [(chat.OPEN, empty), *deltas],
+        1: [(chat.OPEN, empty), (chat.DELTA, draft), (chat.REGENERATE, empty), *deltas],
+        2: [(chat.OPEN, empty), (chat.DELTA, draft), (chat.EDIT, deltas[0][1]), deltas[1]],
+    }
+    events = F.when(F.lit(False), None)
+    for way, steps in ways.items():
+        listed = [
+            F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+            for k, (kind, text) in enumerate(steps)
+        ]
+        events = events.when(F.col("way") == way, F.array(*listed))
+    return rows.select("conversation", "message", "role", F.explode(events).alias("e")).select(
+        "conversation",
+        "message",
+        F.struct("message", "e.step").alias("sequence"),
+        "e.kind",
+        F.when(F.col("e.kind") == chat.OPEN, F.col("role")).alias("role"),
+        "e.text",
+    )
+
+
+@query("op2_chat_formatting", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
+    segments = chat.render(chat.fold(_log(turns.unionByName(more))))
+    read_back = chat.parse(stored(segments, "chat_segments"))
+    return chat.digests(read_back).withColumnsRenamed(
+        {"conversation": "conv_id", "turns": "n_turns", "chars": "formatted_chars"}
+    )
