@@ -12,6 +12,7 @@ from ripplemap.llm import (
     chat,
     decontam,
     pieces_bpe,
+    pitman_yor,
     quality,
     secrets,
     sharding,
@@ -238,3 +239,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(read_back).withColumnsRenamed(
         {"conversation": "conv_id", "turns": "n_turns", "chars": "formatted_chars"}
     )
+
+
+@query("op6_lm_scores")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")

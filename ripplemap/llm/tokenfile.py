@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ripplemap.llm.common import pieces, texts
+from ripplemap.llm.common import bounded_sample, pieces, texts
 from ripplemap.llm.ordered import before, cuts, in_ranges, range_of
 from ripplemap.plans.session import scratch, stored
 
@@ -84,12 +84,7 @@ def encoder(definition: str) -> Encoder:
 
 def dictionary(docs: DataFrame, definition: str, end: int, rows: int, size: int) -> bytes:
     """A dictionary trained on the ids of at most ``rows`` documents; empty if there are too few."""
-    place = F.xxhash64("key")
-    ids = docs.select(place.alias("place")).orderBy("place").limit(rows)
-    last = ids.agg(F.max("place")).first()[0]
-    if last is None:
-        return b""
-    some = docs.where((place <= last) & (F.octet_length("text") < 1 << 16)).limit(rows).collect()
+    some = bounded_sample(docs, rows).where(F.octet_length("text") < 1 << 16).collect()
     samples = encoder(definition).encode([r["text"] for r in some], end)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
