@@ -4,6 +4,7 @@ import pytest
 from check import duck, duck_rows, spark_rows
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ripplemap.bridge import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
     got = spark_rows(queries()[name](spark, SMALL))
     assert name in oracle_sql()
