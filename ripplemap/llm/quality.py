@@ -106,6 +106,8 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
 
 
+# As many rejected hosts are sent to all tasks; more are joined by a shuffle.
+SENT_HOSTS = 50_000
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -153,11 +155,13 @@ def judge(
     """Every row with ``row`` (its columns ``keep``), ``host``, the measures, ``base_failed``, ``kept``.
 
     The rows with their measures are written once, since hosts are counted over them before they
-    can be judged. Host verdicts are joined by host; only rejected hosts are sent.
+    can be judged. Rejected hosts are joined by host, without a shuffle if they are few.
     """
     judged = stored(with_rules(docs, text, host, limits, keep or docs.columns), "quality")
     rejected = host_rates(judged, limits).where("rejected").select(F.col("host").alias("bad"))
-    rejected = rejected.withColumn("host_rejected", F.lit(True))
+    rejected = stored(rejected.withColumn("host_rejected", F.lit(True)), "rejected_hosts")
+    if rejected.count() <= SENT_HOSTS:
+        rejected = F.broadcast(rejected)
     return judged.join(rejected, judged["host"].eqNullSafe(rejected["bad"]), "left").select(
         *judged.columns,
         (~F.col("base_failed") & F.col("host_rejected").isNull()).alias("kept"),
