@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against identifiers.
 
 Two first-order character models are trained from labelled strings (``random`` and ``identifier``):
-counts of one character after another, smoothed by ``smoothing`` each. A run of at least
+counts of one character after another, smoothed by ``smoothing`` a character towards those of single
+characters. A run of at least
 ``min_run`` key characters is a secret if its log-likelihood ratio is over ``min_ratio`` and it does
 not overlap a span of a fixed pattern; those always stay. Only built-in functions are used, and a
 scan shuffles nothing. The model has at most 2 * 68 * 67 counts, whatever the input.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemap.llm.common import let
+from ripplemap.llm.common import bounded_sample, let, texts
 
 # The kinds in order, their patterns, and the least length of what a match must hold.
 ASSIGN = (
@@ -108,15 +109,13 @@ def _pairs(characters: Column, pair) -> Column:
     )
 
 
-def labelled(docs: DataFrame, text: str, scan: Scan, order: Column) -> DataFrame:
-    """``label`` and ``string`` from at most ``sample_rows`` documents, the first ones by ``order``.
+def labelled(docs: DataFrame, text: str, key: str, scan: Scan) -> DataFrame:
+    """``label`` and ``string`` from at most ``sample_rows`` documents, chosen by a hash of the key.
 
     Values that the fixed patterns find are labelled ``random``, the words of eight key characters
     and more outside them ``identifier``.
     """
-    full = F.coalesce(docs[text], F.lit(""))
-    sample = docs.select(full.alias("text"), order.alias("place")).orderBy("place", "text")
-    sample = sample.limit(scan.sample_rows)
+    sample = bounded_sample(texts(docs, key, text), scan.sample_rows).where("text IS NOT NULL")
     secret = F.concat(
         F.filter(
             F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)),
@@ -152,14 +151,17 @@ def train(samples: DataFrame, scan: Scan = Scan()) -> list[float]:
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()  # at most two labels times the pairs of CHARACTERS
     }
-    ratios = []
-    for a in CHARACTERS:
-        logs = {}
-        for label in ("random", "identifier"):
-            row = [counts.get((label, a + b), 0) + scan.smoothing for b in CHARACTERS]
-            logs[label] = [math.log(x / sum(row)) for x in row]
-        ratios += [x - y for x, y in zip(logs["random"], logs["identifier"], strict=True)]
-    return ratios
+    weight = scan.smoothing * len(CHARACTERS)
+    logs: dict[str, list[float]] = {}
+    for label in ("random", "identifier"):
+        seen = {b: sum(counts.get((label, a + b), 0) for a in CHARACTERS) for b in CHARACTERS}
+        total = sum(seen.values())
+        single = {b: (seen[b] + scan.smoothing) / (total + weight) for b in CHARACTERS}
+        logs[label] = []
+        for a in CHARACTERS:
+            row = [counts.get((label, a + b), 0) + weight * single[b] for b in CHARACTERS]
+            logs[label] += [math.log(x / sum(row)) for x in row]
+    return [x - y for x, y in zip(logs["random"], logs["identifier"], strict=True)]
 
 
 def _ratio(run: Column, model: list[float]) -> Column:
@@ -197,7 +199,7 @@ def listed(found: Column) -> Column:
 
 def model_of(docs: DataFrame, text: str = "text", key: str = "doc_id", scan: Scan = Scan()):
     """The ratios trained from the labelled strings of a bounded sample of ``docs``."""
-    return train(labelled(docs, text, scan, F.xxhash64(docs[key])), scan)
+    return train(labelled(docs, text, key, scan), scan)
 
 
 def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
