@@ -51,7 +51,9 @@ from ripplemap.plans.session import stored
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 EXACT = 32  # up to so many customers of a dish, tables are drawn from their exact distribution
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 60_000
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 60_000
+# Buckets that a task scores one after the other, and text sums that it holds at most.
+TOGETHER, WAITING = 4, 1_500_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ class Settings:
     burn_in: int = 1
     samples: int = 3
     seed: int = 5
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 10 << 20
     common_share: float = 0.002
     sample_rows: int = 2000
     held_out: tuple[int, int] = (10, 0)  # modulus and remainder of the id's checksum
@@ -391,46 +393,73 @@ def record(state: DataFrame, settings: Settings, totals: Totals) -> None:
 # Scores ---------------------------------------------------------------------------------------
 
 
+def _text_sums(b: Bucket, u: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """For each batch, the sums of those of its texts that use the bucket."""
+    settings, totals = b.settings, b.totals
+    mean = np.zeros(len(b.count))
+    for sweep in range(len(totals.sweeps)):
+        # The state recorded as number ``sweep`` is what the bucket holds at this point.
+        if sweep >= settings.burn_in:
+            mean += b.probability(sweep)
+        if sweep + 1 < len(totals.sweeps):
+            b.sweep(sweep)
+    score = np.log10(mean / (len(totals.sweeps) - settings.burn_in))
+    seen = b.by_word(b.count)
+    for place, word in b.common_places():
+        seen[place] = totals.common[word]
+    base = np.log10((seen + 0.1) / (totals.n_tokens + 0.1 * (totals.n_words + 1)))
+    pair = np.repeat(np.arange(len(b.count)), u["runs"])
+    times, word = u["times"].astype(np.int64), b.word[pair]
+    # Texts of all batches side by side.
+    texts, where = np.unique(u["part"].astype(np.int64) << 16 | u["text"], return_inverse=True)
+    sums = {
+        "n": np.bincount(where, times),
+        "known": np.bincount(where, times * (seen[word] > 0)),
+        "base": np.bincount(where, times * base[word]),
+        "score": np.bincount(where, times * score[pair]),
+    }
+    part, ends = texts >> 16, np.cumsum(u["n_ends"])
+    for k, name in enumerate(u["batches"].tolist()):
+        own = slice(*np.searchsorted(part, [k, k + 1]))
+        end = slice(int(ends[k] - u["n_ends"][k]), int(ends[k]))
+        found = {"text": texts[own] & 0xFFFF, **{c: v[own] for c, v in sums.items()}}
+        yield name, found | {c: u[c][end] for c in ("ends", "ids", "null")}
+
+
+def _added(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sums of one batch from several buckets, one entry a text."""
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    texts, where = np.unique(whole["text"], return_inverse=True)
+    sums = {c: np.bincount(where, whole[c]) for c in ("n", "known", "base", "score")}
+    return whole | {"text": texts} | sums
+
+
 def score_task(batches, settings: Settings, totals: Totals) -> Iterator[pa.RecordBatch]:
-    """Rows ``batch`` and the packed sums of those of its texts that use the bucket."""
+    """Rows ``batch`` and packed sums by text, added up over the buckets of a task."""
+    waiting: dict[int, list[dict[str, np.ndarray]]] = {}
+    entries = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for name, parts in waiting.items():
+            s = _added(parts)
+            packed = pack(
+                text=s["text"].astype(np.uint16), n=narrow(s["n"]), known=narrow(s["known"]),
+                base=s["base"], score=s["score"].astype(np.float32),
+                ends=s["ends"], ids=s["ids"], null=s["null"],
+            )
+            yield pa.record_batch([pa.array([name]), pa.array([packed])], names=["batch", "sums"])
+        waiting.clear()
+
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("bucket", "dishes", "uses"))
-        for number, blob, uses in zip(*columns, strict=True):
-            b, u = Bucket(number, blob, settings, totals), unpack(uses)
-            mean = np.zeros(len(b.count))
-            for sweep in range(len(totals.sweeps)):
-                # The state recorded as number ``sweep`` is what the bucket holds at this point.
-                if sweep >= settings.burn_in:
-                    mean += b.probability(sweep)
-                if sweep + 1 < len(totals.sweeps):
-                    b.sweep(sweep)
-            score = np.log10(mean / (len(totals.sweeps) - settings.burn_in))
-            seen = b.by_word(b.count)
-            for place, word in b.common_places():
-                seen[place] = totals.common[word]
-            base = np.log10((seen + 0.1) / (totals.n_tokens + 0.1 * (totals.n_words + 1)))
-            pair = np.repeat(np.arange(len(b.count)), u["runs"])
-            times, word = u["times"].astype(np.int64), b.word[pair]
-            # Texts of all batches side by side.
-            text = u["part"].astype(np.int64) << 16 | u["text"]
-            texts, where = np.unique(text, return_inverse=True)
-            sums = {
-                "n": np.bincount(where, times).astype(np.int64),
-                "known": np.bincount(where, times * (seen[word] > 0)).astype(np.int64),
-                "base": np.bincount(where, times * base[word]),
-                "score": np.bincount(where, times * score[pair]),
-            }
-            part, ends = texts >> 16, np.cumsum(u["n_ends"])
-            for k, name in enumerate(u["batches"].tolist()):
-                own = slice(*np.searchsorted(part, [k, k + 1]))
-                end = slice(int(ends[k] - u["n_ends"][k]), int(ends[k]))
-                packed = pack(
-                    text=(texts[own] & 0xFFFF).astype(np.uint16),
-                    n=narrow(sums["n"][own]), known=narrow(sums["known"][own]),
-                    base=sums["base"][own], score=sums["score"][own],
-                    ends=u["ends"][end], ids=u["ids"][end], null=u["null"][end],
-                )
-                yield pa.record_batch([pa.array([name]), pa.array([packed])], names=["batch", "sums"])
+        for row in range(batch.num_rows):
+            number, dishes, uses = (batch.column(c)[row].as_py() for c in ("bucket", "dishes", "uses"))
+            for name, found in _text_sums(Bucket(number, dishes, settings, totals), unpack(uses)):
+                waiting.setdefault(name, []).append(found)
+                entries += len(found["text"])
+            if entries > WAITING:
+                yield from flush()
+                entries = 0
+    yield from flush()
 
 
 def finish(settings: Settings, totals: Totals, group: pa.Table) -> pa.Table:
@@ -489,7 +518,7 @@ def scores(
     for _ in range(settings.burn_in + settings.samples):
         record(state, settings, totals)
     shared = own.sparkSession.sparkContext.broadcast(totals)
-    sums = state.mapInArrow(
+    sums = state.coalesce(math.ceil(buckets / TOGETHER)).mapInArrow(
         lambda batches: score_task(batches, settings, shared.value), "batch long, sums binary"
     )
     return sums.groupBy("batch").applyInArrow(
