@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ripplemap.bridge.ctes import NAME_OF_URN, PLATFORM_OF_URN
 from ripplemap.bridge.registry import query
 from ripplemap.bridge.tables import PLATFORMS, PROFILES, TABLES, Driver, _name, line_name
-from ripplemap.functions.constants import URN_PREFIX
+from ripplemap.functions.constants import MAX_HOPS, URN_PREFIX
 from ripplemap.functions.typing import type_family
 from ripplemap.functions.urn import dataset_urn, field_urn, registry_urn, urn_name, urn_platform
 from ripplemap.marts.segments import customer_segments
@@ -432,10 +432,8 @@ _TERMS = ["NATION-1", "acct-10", "line-7-", "order-", "nothing-like-it"]
 
 @query(
     "q1_search",
-    f"""SELECT query, urn, rank::INTEGER AS rank FROM (
-  SELECT q.query, e.urn, row_number() OVER (PARTITION BY q.query ORDER BY e.urn) AS rank
-  FROM fx_entities e JOIN (SELECT unnest({_TERMS!r}) AS query) q ON contains(lower(e.urn), lower(q.query)))
-WHERE rank <= 10""",
+    f"""SELECT q.query, e.urn
+FROM fx_entities e JOIN (SELECT unnest({_TERMS!r}) AS query) q ON contains(lower(e.urn), lower(q.query))""",
 )
 def _(d: Driver) -> DataFrame:
     return search.search(d.entities(), _TERMS)
@@ -500,7 +498,7 @@ def _(d: Driver) -> DataFrame:
         dataset_urn(F.lit("nation"), _name("nation-", F.col("s_nationkey"))).alias("source"),
         dataset_urn(F.lit("lineitem"), line_name(F.col("l_orderkey"), F.col("l_linenumber"))).alias("target"),
     )
-    found = search.paths_between(pairs, d.edges())
+    found = search.paths_between(pairs, stored(d.edges(), "path_edges"), MAX_HOPS)
     return found.select("source", "target", F.array_join("path", " > ").alias("path"))
 
 
@@ -529,7 +527,7 @@ def _(d: Driver) -> DataFrame:
 
 @query(
     "q8_search_documents",
-    "SELECT doc_id, source FROM documents WHERE contains(text, 'the') ORDER BY doc_id LIMIT 10",
+    "SELECT doc_id, source FROM documents WHERE contains(text, 'the')",
 )
 def _(d: Driver) -> DataFrame:
     return search.search_documents(d.table("documents"), "the")

@@ -120,7 +120,7 @@ FROM fx_judged WHERE kind = 'logic_changed'""",
 def _(d: Driver) -> DataFrame:
     rows = d.review(judge_column="answer").verdicts.filter(F.col("kind") == K.LOGIC)
     return rows.select(
-        "profile", "change_id", "tier", "overall", verdict.judged_text(F.col("answer")).alias("answer_text")
+        "profile", "change_id", "tier", "overall", verdict.judged_text(F.col("answer"), K.JUDGE_CHARS).alias("answer_text")
     )
 
 

@@ -76,7 +76,7 @@ def _(d: Driver) -> DataFrame:
 ORDER BY recorded_at, change_id, profile LIMIT 50""",
 )
 def _(d: Driver) -> DataFrame:
-    rows = decisions.held_queue(d.review().decisions)
+    rows = decisions.held_queue(d.review().decisions, K.HELD_QUEUE_LIMIT)
     return rows.select("profile", "change_id", "marker", "title", "blocked_on")
 
 
@@ -169,11 +169,12 @@ UNION ALL SELECT profile, change_id, section, line FROM ({_COVERAGE_LINES}) WHER
 UNION ALL SELECT profile, change_id, section, line FROM ({_IMPACT_LINES}) WHERE NOT is_blocked
 UNION ALL SELECT d.profile, d.change_id, 80, 'Attempt ' || a.attempt || ': ' || a.command
   || CASE WHEN a.exit_code = 0 THEN ' passed' ELSE ' failed' END
-  FROM fx_decisions d JOIN fx_attempts a ON a.change_id = d.change_id WHERE NOT d.is_blocked
+  FROM fx_decisions d JOIN fx_attempts a ON a.change_id = d.change_id WHERE NOT d.is_blocked AND d.fixed > 0
 UNION ALL SELECT d.profile, d.change_id, 81, CASE WHEN a.passed IS NULL THEN 'No code was run.'
   WHEN a.passed THEN 'The rewritten models ran.'
   ELSE 'The rewritten models did not run; they are recorded only.' END
-  FROM fx_decisions d LEFT JOIN fx_last a ON a.change_id = d.change_id WHERE NOT d.is_blocked"""
+  FROM fx_decisions d LEFT JOIN fx_last a ON a.change_id = d.change_id AND d.fixed > 0
+  WHERE NOT d.is_blocked"""
 
 
 @query("p4_review_documents", _REVIEW_LINES)

@@ -12,7 +12,6 @@ from ripplemap.functions import constants as K
 from ripplemap.functions.urn import dataset_urn
 from ripplemap.marts import facts, staging
 from ripplemap.operators import catalog, expand
-from ripplemap.operators.skew import ROWS_PER_SHARD
 from ripplemap.plans.review import Catalog, Review
 from ripplemap.plans.session import if_any, stored
 
@@ -147,9 +146,7 @@ class Driver:
 
     @cached_property
     def hubs(self) -> DataFrame | None:
-        return if_any(
-            expand.link_hubs(self.profile_edges, list(PROFILES)), self.profile_edges, ROWS_PER_SHARD
-        )
+        return if_any(expand.link_hubs(self.profile_edges, list(PROFILES)))
 
     def catalog(self) -> Catalog:
         return Catalog(

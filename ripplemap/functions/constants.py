@@ -65,6 +65,4 @@ TAG_COVERAGE_GAP = "urn:li:tag:ripplemap-coverage-gap"
 DOC_DECISION, DOC_ANALYSIS = "Decision", "Analysis"
 MARKER_HELD, MARKER_RESOLVED = "ripplemap:held-decision", "ripplemap:resolved"
 HELD_QUEUE_LIMIT = 50
-SEARCH_LIMIT = 10
-LINEAGE_LIMIT = 30
 GREP_CONTEXT = 200

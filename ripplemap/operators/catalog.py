@@ -132,25 +132,25 @@ def registry_to_wire(registry: DataFrame) -> DataFrame:
 def registry_from_wire(wire: DataFrame, known: list[str], carried: list[str] = ("profile",)) -> DataFrame:
     """Read registry rows back from ``properties`` (a map) or ``pairs`` (key/value structs).
 
-    Rows without the platform key are skipped, missing values take their defaults, and only the
-    known platforms' own registry entities are read.
+    Rows without the platform key are skipped, missing values and counts that are no number take
+    their defaults, the last of repeated keys holds, and only the known platforms' own registry
+    entities are read.
     """
-    props = F.col("properties")
-    if "pairs" in wire.columns:
-        from_pairs = F.map_from_entries(
-            F.transform("pairs", lambda p: F.struct(p["key"], p["value"]))
-        )
-        props = F.coalesce(props, from_pairs)
-    read = wire.filter(F.col("urn").isin([_registry_urn_text(p) for p in known])).withColumn("_p", props)
+    read = wire.filter(F.col("urn").isin([_registry_urn_text(p) for p in known]))
 
     def value(key: str) -> Column:
-        return F.try_element_at("_p", F.lit(key))
+        own = F.try_element_at("properties", F.lit(key))
+        if "pairs" not in wire.columns:
+            return own
+        same = F.filter("pairs", lambda p: p["key"] == key)
+        last = F.try_element_at(same, F.lit(-1))["value"]
+        return F.when(F.col("properties").isNotNull(), own).otherwise(last)
 
     return read.filter(value(K.KEY_PLATFORM).isNotNull()).select(
         *carried,
         value(K.KEY_PLATFORM).alias("platform"),
         F.coalesce(value(K.KEY_CONNECTOR) == "true", F.lit(False)).alias("connector"),
-        F.coalesce(value(K.KEY_EXPECTED).cast("bigint"), F.lit(0)).alias("expected"),
+        F.coalesce(value(K.KEY_EXPECTED).try_cast("bigint"), F.lit(0)).alias("expected"),
         F.coalesce(value(K.KEY_NOTE), F.lit("")).alias("note"),
         (F.coalesce(value(K.KEY_HOSTS), F.lit("true")) == "true").alias("hosts_consumers"),
     )

@@ -152,10 +152,13 @@ def spot_rows(covered: DataFrame) -> DataFrame:
 
 
 def with_override(reviewed: DataFrame, overrides: DataFrame) -> DataFrame:
-    """An override counts only where a reason is given and the gate had failed."""
-    reasons = overrides.select("change_id", F.col("reason").alias("_reason"))
-    given = F.coalesce(F.col("_reason"), F.lit("")) != ""
-    overridden = given & ~F.col("gate_passed")
+    """An override counts only where a reason is given and the gate had failed.
+
+    Of several reasons for a change the first in the alphabet is recorded.
+    """
+    given = overrides.filter(F.coalesce("reason", F.lit("")) != "")
+    reasons = given.groupBy("change_id").agg(F.min("reason").alias("_reason"))
+    overridden = F.col("_reason").isNotNull() & ~F.col("gate_passed")
     return (
         reviewed.join(reasons, "change_id", "left")
         .withColumn("overridden", overridden)

@@ -11,12 +11,14 @@ IMPACTS_PER_PART = 1000
 _ID = ["profile", "change_id"]
 
 
-def blocked_on(spots: Column, reason: Column) -> Column:
-    """Platforms named by any spot, else the start of the reason, else a fixed text."""
+def blocked_on(spots: Column, reason: Column, characters: int | None = None) -> Column:
+    """Platforms named by any spot, else the reason (its first ``characters``), else a fixed text."""
     platforms = spot_platforms(spots)
+    if characters is not None:
+        reason = F.substring(reason, 1, characters)
     return (
         F.when(F.size(platforms) > 0, F.concat(F.lit("lineage of: "), F.array_join(platforms, ", ")))
-        .when(F.coalesce(reason, F.lit("")) != "", F.substring(reason, 1, K.BLOCKED_ON_CHARS))
+        .when(F.coalesce(reason, F.lit("")) != "", reason)
         .otherwise("coverage is under the threshold")
     )
 
@@ -33,7 +35,7 @@ def decisions(remediation_rows: DataFrame) -> DataFrame:
         F.when(held, K.DOC_DECISION).otherwise(K.DOC_ANALYSIS).alias("doc_type"),
         F.when(held, K.MARKER_HELD).otherwise(K.MARKER_RESOLVED).alias("marker"),
         title.alias("title"),
-        F.when(held, blocked_on(F.col("spots"), F.col("blocked_reason"))).alias("blocked_on"),
+        F.when(held, blocked_on(F.col("spots"), F.col("blocked_reason"), K.BLOCKED_ON_CHARS)).alias("blocked_on"),
     )
 
 
@@ -130,13 +132,12 @@ def inferred_notes(star: DataFrame, upstream_name: Column) -> DataFrame:
     )
 
 
-def held_queue(decision_log: DataFrame, limit: int = K.HELD_QUEUE_LIMIT) -> DataFrame:
-    """Held decisions, oldest first."""
-    return (
-        decision_log.filter(F.col("marker") == K.MARKER_HELD)
-        .orderBy("recorded_at", "change_id", "profile")
-        .limit(limit)
+def held_queue(decision_log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Held decisions, oldest first: all, or the first ``limit``."""
+    queue = decision_log.filter(F.col("marker") == K.MARKER_HELD).orderBy(
+        "recorded_at", "change_id", "profile"
     )
+    return queue if limit is None else queue.limit(limit)
 
 
 def resume(held: DataFrame, reviewed_again: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def _column_links(column_edges: DataFrame, profiles: list[str]) -> DataFrame:
 def link_hubs(
     edges: DataFrame, profiles: list[str], rows_per_shard: int = ROWS_PER_SHARD
 ) -> DataFrame:
-    """Nodes with more links in one direction than a task should hold; at most ``HOT_KEYS`` rows."""
+    """Nodes with more links in one direction than a task should hold."""
     counts = _links(edges, profiles).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
     return hot_keys(counts, _KEY, "n", rows_per_shard)
 
@@ -155,7 +155,7 @@ def closure(
     )
 
 
-def hop_limits(candidates: DataFrame) -> DataFrame:
+def hop_limits(candidates: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Last hop each direction may keep: a hop that adds no new entity ends its direction.
 
     Upstream runs second, so entities already kept downstream are not new to it. Only counters are
@@ -163,7 +163,7 @@ def hop_limits(candidates: DataFrame) -> DataFrame:
     """
     down = (F.col("down_code") / 4).cast("int")
     up = (F.col("up_code") / 4).cast("int")
-    hops = range(1, MAX_HOPS + 1)
+    hops = range(1, max_hops + 1)
     counters = [F.count_if(down == k).alias(f"d{k}") for k in hops]
     counters += [F.count_if((up == k) & down.isNull()).alias(f"u{k}_0") for k in hops]
     counters += [
@@ -173,9 +173,9 @@ def hop_limits(candidates: DataFrame) -> DataFrame:
 
     def last_kept(new: list[Column]) -> Column:
         limit = F.when(new[0] == 0, 0)
-        for k in range(1, MAX_HOPS):
+        for k in range(1, max_hops):
             limit = limit.when(new[k] == 0, k)
-        return limit.otherwise(MAX_HOPS)
+        return limit.otherwise(max_hops)
 
     limited = counted.withColumn("down_limit", last_kept([F.col(f"d{k}") for k in hops]))
     new_up = []
@@ -195,24 +195,26 @@ def hop_limits(candidates: DataFrame) -> DataFrame:
     )
 
 
-def trimmed_scopes(candidates: DataFrame) -> DataFrame:
+def trimmed_scopes(candidates: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Scopes that lose rows to the stopping rule; none on acyclic graphs with consistent columns."""
-    return hop_limits(candidates).filter("trims").drop("trims")
+    return hop_limits(candidates, max_hops).filter("trims").drop("trims")
 
 
-def subgraph(candidates: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+def subgraph(
+    candidates: DataFrame, trims: DataFrame | None = None, max_hops: int = MAX_HOPS
+) -> DataFrame:
     """Kept entities (profile, scope_id, urn, direction, hop, provenance) after the stopping rule.
 
     Only scopes that really lose rows (``trims``) are joined back; None says that no scope does.
     """
     if trims is None:
-        limited = candidates.withColumn("down_limit", F.lit(MAX_HOPS)).withColumn("up_limit", F.lit(MAX_HOPS))
+        limited = candidates.withColumn("down_limit", F.lit(max_hops)).withColumn("up_limit", F.lit(max_hops))
     else:
         limited = candidates.join(trims, _SCOPE, "left")
     down = (F.col("down_code") / 4).cast("int")
     up = (F.col("up_code") / 4).cast("int")
-    keep_down = F.coalesce(down <= F.coalesce("down_limit", F.lit(MAX_HOPS)), F.lit(False))
-    keep_up = F.coalesce(up <= F.coalesce("up_limit", F.lit(MAX_HOPS)), F.lit(False))
+    keep_down = F.coalesce(down <= F.coalesce("down_limit", F.lit(max_hops)), F.lit(False))
+    keep_up = F.coalesce(up <= F.coalesce("up_limit", F.lit(max_hops)), F.lit(False))
     code = F.when(keep_down, F.col("down_code")).when(keep_up, F.col("up_code"))
     rank = F.col("code") % 4
     return (

@@ -136,9 +136,12 @@ def refusal_lines(decision_rows: DataFrame) -> DataFrame:
 
 
 def attempt_lines(decision_rows: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Check attempts of unblocked changes, one line each, and the closing statement."""
-    open_rows = decision_rows.filter(~F.col("is_blocked")).select(*_ID)
-    each = open_rows.join(attempts, "change_id").select(
+    """Check attempts of unblocked changes with edits, one line each, and the closing statement.
+
+    Nothing runs where nothing was edited, whatever attempts there are for the change.
+    """
+    open_rows = decision_rows.filter(~F.col("is_blocked")).select(*_ID, "fixed")
+    each = open_rows.filter("fixed > 0").join(attempts, "change_id").select(
         *_ID,
         F.lit(80).alias("section"),
         F.lpad(F.col("attempt").cast("string"), 12, "0").alias("key"),
@@ -152,7 +155,7 @@ def attempt_lines(decision_rows: DataFrame, attempts: DataFrame) -> DataFrame:
         *_ID,
         F.lit(81).alias("section"),
         F.lit("").alias("key"),
-        F.when(F.col("passed").isNull(), "No code was run.")
+        F.when(F.col("passed").isNull() | (F.col("fixed") <= 0), "No code was run.")
         .when(F.col("passed"), "The rewritten models ran.")
         .otherwise("The rewritten models did not run; they are recorded only.")
         .alias("line"),

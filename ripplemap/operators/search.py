@@ -1,28 +1,37 @@
 """Read surface of the catalog: search, lookups, paths, schema fields, query log, documents."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplemap.functions.constants import GREP_CONTEXT, MAX_HOPS, SEARCH_LIMIT
+from ripplemap.functions.constants import GREP_CONTEXT
 
 # Quoted JSON strings, escapes included, with the colon that would make one a key.
 JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?)'
 
 
-def search(entities: DataFrame, queries: list[str], limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Case-insensitive substring search, first ``limit`` urns per query.
+def search(
+    entities: DataFrame,
+    queries: list[str],
+    limit: int | None = None,
+    where: Column | None = None,
+    sort_by: tuple[Column, ...] = (),
+) -> DataFrame:
+    """Case-insensitive substring search: all hits (urn, query), or the first ``limit`` per query.
 
-    The user's query texts are tested on each entity row, so there is no join; the rank filter is
-    evaluated before the shuffle as well, so no query's hits are gathered in full.
+    ``where`` keeps matching entities only; ``sort_by`` orders the hits before their urns do. The
+    user's query texts are tested on each entity row, so there is no join. With a limit, hits get a
+    ``rank``, and the rank filter is evaluated before the shuffle as well.
     """
     hits = F.filter(
         F.array(*[F.lit(q) for q in queries]), lambda q: F.contains(F.lower("urn"), F.lower(q))
     )
-    ranked = entities.select("urn", F.explode(hits).alias("query")).withColumn(
-        "rank", F.row_number().over(W.partitionBy("query").orderBy("urn"))
-    )
-    return ranked.filter(F.col("rank") <= limit)
+    kept = entities if where is None else entities.filter(where)
+    found = kept.withColumn("query", F.explode(hits))
+    if limit is None:
+        return found.select("urn", "query")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(*sort_by, "urn"))
+    return found.select("urn", "query", rank.alias("rank")).filter(F.col("rank") <= limit)
 
 
 def lookup(entities: DataFrame, urns: DataFrame) -> DataFrame:
@@ -55,22 +64,27 @@ def keyed_closure(requests: DataFrame, cube: DataFrame) -> DataFrame:
     )
 
 
-def paths_between(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def paths_between(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """All simple paths from source to target of at most ``max_hops`` edges.
 
     The walk starts at the targets and goes upstream, where lineage fans in little. Every step
-    carries its path, and a node already on the path is not entered again.
+    carries its path, and a node already on the path is not entered again. The last step is made
+    towards the source only. ``edges`` are read at every step: pass a stored table.
     """
     back = edges.select(F.col("down_urn").alias("at"), F.col("up_urn").alias("prev")).distinct()
     walk = pairs.select(
         "source", "target", F.col("target").alias("at"), F.array("target").alias("path")
     ).distinct()
     found = None
-    for _ in range(max_hops):
+    for hop in range(1, max_hops + 1):
+        open_ends = walk.filter(F.col("at") != F.col("source"))
+        if hop == max_hops:
+            last = back.withColumnRenamed("prev", "source")
+            onwards = open_ends.join(last, ["at", "source"]).withColumn("prev", F.col("source"))
+        else:
+            onwards = open_ends.join(back, "at")
         step = (
-            walk.filter(F.col("at") != F.col("source"))
-            .join(back, "at")
-            .filter(~F.array_contains("path", F.col("prev")))
+            onwards.filter(~F.array_contains("path", F.col("prev")))
             .select("source", "target", F.col("prev").alias("at"),
                     F.concat(F.array("prev"), F.col("path")).alias("path"))
         )
@@ -80,6 +94,24 @@ def paths_between(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS)
     return found
 
 
+def column_paths_between(pairs: DataFrame, column_edges: DataFrame, max_hops: int) -> DataFrame:
+    """The same between columns: pairs carry ``source_column`` and ``target_column``.
+
+    A place on a path is a struct of ``urn`` and ``column``.
+    """
+
+    def place(urn: str, column: str) -> Column:
+        return F.struct(F.col(urn).alias("urn"), F.col(column).alias("column"))
+
+    ends = pairs.select(
+        place("source", "source_column").alias("source"), place("target", "target_column").alias("target")
+    )
+    edges = column_edges.select(
+        place("up_urn", "up_col").alias("up_urn"), place("down_urn", "down_col").alias("down_urn")
+    )
+    return paths_between(ends, edges, max_hops)
+
+
 def schema_fields(rows: DataFrame, keywords: list[str]) -> DataFrame:
     wanted = F.array(*[F.lit(k.lower()) for k in keywords])
     return rows.filter(F.exists(wanted, lambda k: F.contains(F.lower("column"), k)))
@@ -109,23 +141,27 @@ def grep_documents(
     )
 
 
-def search_documents(documents: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
+def search_documents(documents: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Documents that hold the query: all, or the first ``limit`` by id."""
     hits = documents.filter(F.contains("text", F.lit(query)))
-    return hits.select("doc_id", "source").orderBy("doc_id").limit(limit)
+    found = hits.select("doc_id", "source")
+    return found if limit is None else found.orderBy("doc_id").limit(limit)
 
 
 def harvest_urns(payloads: DataFrame, prefix: str) -> DataFrame:
     """(id, urn, pos): string values of any nested JSON that start with ``prefix``, first seen first.
 
     Strings are read left to right as whole JSON tokens, so keys and text inside other strings do
-    not count. A payload that is not JSON gives nothing.
+    not count. A payload that is not JSON is one plain string, which counts if it starts with the
+    prefix. All of it happens in the row.
     """
-    token = F.posexplode(F.regexp_extract_all("payload", F.lit(JSON_STRING))).alias("pos", "token")
-    return (
-        payloads.filter(F.try_parse_json("payload").isNotNull())
-        .select("id", token)
-        .filter(F.col("token").startswith('"' + prefix) & ~F.col("token").endswith(":"))
-        .select("id", "pos", F.get_json_object(F.concat(F.lit("["), "token", F.lit("]")), "$[0]").alias("urn"))
-        .groupBy("id", "urn")
-        .agg(F.min("pos").alias("pos"))
-    )
+    tokens = F.filter(
+        F.regexp_extract_all("payload", F.lit(JSON_STRING)),
+        lambda t: F.startswith(t, F.lit('"' + prefix)) & ~F.endswith(t, F.lit(":")),
+    )
+    values = F.transform(
+        tokens, lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+    )
+    plain = F.filter(F.array("payload"), lambda t: F.startswith(t, F.lit(prefix)))
+    found = F.when(F.try_parse_json("payload").isNotNull(), values).otherwise(plain)
+    return payloads.select("id", F.posexplode(F.array_distinct(found)).alias("pos", "urn"))

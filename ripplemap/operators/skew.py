@@ -1,14 +1,13 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-The heaviest keys are found by a map-side combined count. At most ``HOT_KEYS`` of them are kept,
-so the broadcast below has a fixed bound, and any key left out holds less than one part in
-``HOT_KEYS`` of the rows.
+Heavy keys are found by a map-side combined count and chosen by their size only. Their list is
+sent to all tasks where it has no more than ``SENT_KEYS`` rows, else it is joined like any table.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+SENT_KEYS = 100_000
 ROWS_PER_SHARD = 2_000_000
 
 
@@ -18,19 +17,21 @@ def hot_keys(
     """Keys that need more than one shard, with their shard count."""
     return (
         counts.filter(F.col(n) > rows_per_shard)
-        .orderBy(F.desc(n), *keys)
-        .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col(n) / rows_per_shard).cast("int").alias("_shards"))
     )
 
 
+def _sent(hot: DataFrame) -> DataFrame:
+    return F.broadcast(hot) if hot.count() <= SENT_KEYS else hot
+
+
 def split_rows(df: DataFrame, hot: DataFrame | None, keys: list[str], by: str) -> DataFrame:
     """Spread each hot key's rows over its shards by the hash of ``by``; no-op without hot keys."""
     if hot is None:
         return df
     shards = F.coalesce(F.col("_shards"), F.lit(1))
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(_sent(hot), keys, "left")
         .withColumn("_shard", F.pmod(F.xxhash64(by), shards).cast("int"))
         .drop("_shards")
     )
@@ -42,7 +43,7 @@ def repeat_rows(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFr
         return df
     last = F.coalesce(F.col("_shards"), F.lit(1)) - 1
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(_sent(hot), keys, "left")
         .withColumn("_shard", F.explode(F.sequence(F.lit(0), last)))
         .drop("_shards")
     )

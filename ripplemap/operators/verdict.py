@@ -56,8 +56,9 @@ def judged_tier(answer: Column) -> Column:
     ).otherwise(F.when(answer.isNotNull(), K.TOUCHES))
 
 
-def judged_text(answer: Column) -> Column:
-    return F.substring(F.trim(answer), 1, K.JUDGE_CHARS)
+def judged_text(answer: Column, characters: int | None = None) -> Column:
+    text = F.trim(answer)
+    return text if characters is None else F.substring(text, 1, characters)
 
 
 def severity(tier: Column) -> Column:
@@ -145,7 +146,7 @@ def impact_rows(
         .otherwise(F.format_string("%s lies in reach of %s (%s)", name, target, where))
     )
     if judge_column:
-        why = F.when(F.col("kind") == K.LOGIC, F.coalesce(judged_text(F.col(judge_column)), why)).otherwise(why)
+        why = F.when(F.col("kind") == K.LOGIC, F.coalesce(judged_text(F.col(judge_column), K.JUDGE_CHARS), why)).otherwise(why)
     return joined.select(
         "profile",
         "change_id",

@@ -83,6 +83,15 @@ def combined_check(
             if isinstance(result, str):
                 rows.append(spark.createDataFrame([(variant, name, attempt, 1, None, False, result)], RESULT))
                 continue
+            if isinstance(baseline[name], str):
+                # It builds now and did not before: there is nothing that it could match.
+                rows.append(
+                    _fingerprint(result).select(
+                        *label, F.lit(0).alias("exit_code"), "rows", F.lit(False).alias("matches"),
+                        F.lit("").alias("output_tail"),
+                    )
+                )
+                continue
             # Both sides are one-row aggregates.
             want = _fingerprint(baseline[name]).select(F.struct("rows", "h", "width").alias("w"), F.lit(1).alias("k"))
             got = _fingerprint(result).select("rows", F.struct("rows", "h", "width").alias("g"), F.lit(1).alias("k"))

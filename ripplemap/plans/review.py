@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemap.functions.constants import COVERAGE_THRESHOLD
+from ripplemap.functions.constants import COVERAGE_THRESHOLD, MAX_HOPS
 from ripplemap.operators import coverage as cov
 from ripplemap.operators import decisions as dec
 from ripplemap.operators import expand, report, resolve, rewrite, verdict
@@ -50,17 +50,19 @@ class Review:
         judge_column: str | None = None,
         true_provenance: bool = False,
         rows_per_shard: int = ROWS_PER_SHARD,
+        max_hops: int = MAX_HOPS,
     ) -> None:
         self.changes, self.catalog, self.overrides = changes, catalog, overrides
         self.sources, self.attempts = sources, attempts
         self.threshold, self.judge_column = threshold, judge_column
         self.true_provenance, self.rows_per_shard = true_provenance, rows_per_shard
+        self.max_hops = max_hops
 
     def variant(self, judge_column: str | None = None, true_provenance: bool = False) -> "Review":
         """The same review under another judge or provenance mode, on the same expansion."""
         other = Review(
             self.changes, self.catalog, self.overrides, self.sources, self.attempts, self.threshold,
-            judge_column, true_provenance, self.rows_per_shard,
+            judge_column, true_provenance, self.rows_per_shard, self.max_hops,
         )
         self.subgraph  # noqa: B018 - make sure the expansion is stored before it is shared
         for name in ("resolved", "hubs", "subgraph", "closure_rows"):
@@ -83,23 +85,29 @@ class Review:
     @cached_property
     def hubs(self) -> DataFrame | None:
         edges, n = self.catalog.edges, self.rows_per_shard
-        return if_any(expand.link_hubs(edges, list(self.catalog.profiles), n), edges, n)
+        return if_any(expand.link_hubs(edges, list(self.catalog.profiles), n))
 
-    def subgraph_of(self, scopes: DataFrame) -> DataFrame:
-        c = self.catalog
-        closure = stored(
-            expand.closure(
-                scopes, c.edges, c.column_edges, list(c.profiles), hubs=self.hubs, keep=stored
-            ),
-            "closure",
+    def closure_of(self, scopes: DataFrame) -> DataFrame:
+        c, profiles = self.catalog, list(self.catalog.profiles)
+        found = expand.closure(
+            scopes, c.edges, c.column_edges, profiles, self.max_hops, self.hubs, keep=stored
         )
-        trims = stored(expand.trimmed_scopes(closure), "trimmed")
-        self.closure_rows = closure
-        return expand.subgraph(closure, None if trims.isEmpty() else trims)
+        return stored(found, "closure")
+
+    def _kept(self, closure: DataFrame) -> DataFrame:
+        trims = stored(expand.trimmed_scopes(closure, self.max_hops), "trimmed")
+        return expand.subgraph(closure, trims, self.max_hops)
+
+    def subgraph_of(self, scopes: DataFrame) -> DataFrame:
+        return self._kept(self.closure_of(scopes))
+
+    @cached_property
+    def closure_rows(self) -> DataFrame:
+        return self.closure_of(self.scopes)
 
     @cached_property
     def subgraph(self) -> DataFrame:
-        return self.subgraph_of(self.scopes)
+        return self._kept(self.closure_rows)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -115,7 +123,7 @@ class Review:
     @cached_property
     def reviewed(self) -> DataFrame:
         n = self.rows_per_shard
-        hot = if_any(verdict.hot_targets(self.targets, n), self.targets, n)
+        hot = if_any(verdict.hot_targets(self.targets, n))
         joined = verdict.changes_with(self.changes, self.coverage, hot)
         return cov.with_override(joined, self.overrides)
 
@@ -135,7 +143,7 @@ class Review:
     def impacts_of(self, verdict_rows: DataFrame) -> DataFrame:
         n = self.rows_per_shard
         sub = self.subgraph
-        hot = if_any(verdict.hot_scopes(sub, n), self.closure_rows, n)
+        hot = if_any(verdict.hot_scopes(sub, n))
         return verdict.impact_rows(verdict_rows, sub, hot, self.judge_column, self.carry)
 
     @cached_property

@@ -65,13 +65,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_any(hot: DataFrame, of: DataFrame, rows_per_shard: int) -> DataFrame | None:
-    """Hot keys as a stored table, or None where none can exist or none does.
-
-    ``of`` is a stored table: with no more rows than one shard holds it has no hot key, and its
-    row count comes from the file footers.
-    """
-    if of.count() <= rows_per_shard:
-        return None
+def if_any(hot: DataFrame) -> DataFrame | None:
+    """Hot keys as a stored table, or None where there are none."""
     kept = stored(hot, "hot_keys")
     return None if kept.isEmpty() else kept

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ripplemap.functions import constants as K
 from ripplemap.functions.text import replace_first_word, replace_words
 from ripplemap.marts.segments import customer_segments
-from ripplemap.operators import catalog, changes, resolve, search
+from ripplemap.operators import catalog, changes, coverage, resolve, search
 from ripplemap.operators.skew import hot_keys, join_split
+from ripplemap.plans.combined import combined_check
 from ripplemap.plans.session import scratch
 from ripplemap.sources import readers, sinks
 
@@ -141,3 +143,60 @@ def test_search_and_lineage_caps(spark):
     asked = cube.drop("urn").distinct()
     assert search.lineage(cube, asked).count() == 30
     assert search.lineage(cube, asked, limit=5).count() == 5
+
+
+def test_plain_answers_are_harvested_whole(spark):
+    df = spark.createDataFrame(
+        [(1, "urn:li:dataset:x, not JSON"), (2, "see urn:li:dataset:y"), (3, ""), (4, None)], "id int, payload string"
+    )
+    rows = search.harvest_urns(df, "urn:li:dataset:").collect()
+    assert [(r["id"], r["urn"]) for r in rows] == [(1, "urn:li:dataset:x, not JSON")]
+
+
+def test_search_filter_and_order(spark):
+    entities = spark.createDataFrame([("u1", 3), ("u2", 2), ("u3", 1), ("v", 0)], "urn string, n int")
+    assert search.search(entities, ["u"]).count() == 3
+    best = search.search(entities, ["u"], 1, where=F.col("n") > 1, sort_by=(F.col("n"),)).collect()
+    assert [(r["urn"], r["rank"]) for r in best] == [("u2", 1)]
+
+
+def test_column_paths(spark):
+    edges = spark.createDataFrame(
+        [("a", "x", "b", "y"), ("b", "y", "c", "z"), ("b", "other", "c", "z")],
+        "up_urn string, up_col string, down_urn string, down_col string",
+    )
+    pairs = spark.createDataFrame(
+        [("a", "x", "c", "z")], "source string, source_column string, target string, target_column string"
+    )
+    rows = search.column_paths_between(pairs, edges, 2).collect()
+    assert [[(p["urn"], p["column"]) for p in r["path"]] for r in rows] == [[("a", "x"), ("b", "y"), ("c", "z")]]
+    assert search.column_paths_between(pairs, edges, 1).count() == 0
+
+
+def test_repeated_overrides_keep_one_row(spark):
+    reviewed = spark.createDataFrame([(1, False), (2, False)], "change_id int, gate_passed boolean")
+    reasons = spark.createDataFrame([(1, "b"), (1, "a"), (2, ""), (2, None)], "change_id int, reason string")
+    rows = coverage.with_override(reviewed, reasons).orderBy("change_id").collect()
+    assert [(r["change_id"], r["overridden"]) for r in rows] == [(1, True), (2, False)]
+
+
+def test_registry_pairs_with_repeats_and_bad_counts(spark):
+    urn = catalog._registry_urn_text("p")
+    wire = spark.createDataFrame(
+        [(urn, "one", None, [("k", "old"), ("k", "p"), ("e", "many")])],
+        "urn string, profile string, properties map<string,string>, pairs array<struct<key:string,value:string>>",
+    )
+    renamed = {"k": K.KEY_PLATFORM, "e": K.KEY_EXPECTED}
+    pairs = F.transform("pairs", lambda p: F.struct(
+        F.element_at(F.create_map(*[F.lit(x) for kv in renamed.items() for x in kv]), p["key"]).alias("key"), p["value"].alias("value")
+    ))
+    (row,) = catalog.registry_from_wire(wire.withColumn("pairs", pairs), ["p"]).collect()
+    assert (row["platform"], row["expected"]) == ("p", 0)
+
+
+def test_a_model_broken_before_the_change_matches_nothing(spark):
+    t = spark.createDataFrame([(1,)], "c int")
+    models = {"m": "SELECT c FROM {t}", "n": "SELECT fixed FROM {m}"}
+    rows = combined_check(spark, {"t": t}, models, {"model": "m", "column": "c", "new_value": "fixed"}, [])
+    found = {(r["variant"], r["model"]): (r["exit_code"], r["matches"]) for r in rows.collect()}
+    assert found[("change_only", "n")] == (0, False)
