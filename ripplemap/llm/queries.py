@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ripplemap.llm import (
     chat,
     decontam,
+    phrases,
     pieces_bpe,
     pitman_yor,
     quality,
@@ -244,3 +245,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_lm_scores")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.scores(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op13_phrases")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=100, first=2000)
