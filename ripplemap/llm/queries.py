@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ripplemap.llm import (
     chat,
     decontam,
+    packing,
     phrases,
     pieces_bpe,
     pitman_yor,
     quality,
+    repair,
     secrets,
     sharding,
     simhash,
@@ -247,6 +249,50 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.scores(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, robbed of their ends, repeated or given a wrong role, by a checksum."""
+    space = F.lit(" ")
+    told = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    way = F.crc32(F.concat(told[0], F.lit(":"), told[1]).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    rows = turns.select(
+        F.col("conv_id").alias("conversation"),
+        "turn",
+        F.when(way == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(way == 1, "").when(way == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(way == 3, 2).otherwise(1).alias("copies"),
+        way.alias("way"),
+    ).where("way != 0")
+    return rows.select(
+        "conversation", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies")))
+    ).drop("col")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = repair.summaries(
+        turns.select(F.col("conv_id").alias("conversation")), repair.repair(_damaged(turns))
+    )
+    return found.withColumnsRenamed({"conversation": "conv_id", "sha256": "repaired_sha256"}).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER, end=1, length=2048)
+    return packed.pieces.select(
+        F.col("key").alias("doc_id"),
+        "start",
+        "length",
+        F.col("crc").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 @query("op13_phrases")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"), least=100, first=2000)
