@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import pieces, texts
-from ripplemap.llm.tokenfile import encoder
+from ripplemap.llm.encoder import encoder
 from ripplemap.plans.session import stored
 
 # Cut documents are sent to all tasks up to this many (about 50 MB), else joined by a shuffle.
@@ -179,7 +179,7 @@ def coded(docs: DataFrame, definition: str, end: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, row = encoder(shared.value), TaskContext.get().partitionId(), 0
         seen = np.zeros(length + 1, np.int64)
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             raw = tokens.encode([t or "" for t in batch.column("text").to_pylist()], end)
             starts, lengths, nths, crcs, ends, sizes = [], [], [], [], [0], []
             for own in raw:

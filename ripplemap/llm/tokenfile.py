@@ -22,10 +22,7 @@ columns play no part, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import os
-import re
 import struct
 import uuid
 import zlib
@@ -38,9 +35,9 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ripplemap.llm.common import bounded_sample, pieces, texts
+from ripplemap.llm.encoder import encoder
 from ripplemap.llm.ordered import before, cuts, in_ranges, range_of
 from ripplemap.plans.session import scratch, stored
 
@@ -49,67 +46,9 @@ HEAD = struct.Struct("<8sIB")
 FOOT = struct.Struct("<Q32sQQ8s")
 ENTRY = np.dtype([("key", "<i8"), ("null", "u1"), ("length", "<u4"), ("ids", "<u4")])
 ROWS_PER_FILE = 20_000
-CACHE = 300_000
 LEVEL = 3
 
 
-# A single mark after a letter or digit and before white space is a word of its own to the tokenizer.
-LAST_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
-
-
-def cut(text: str) -> list[bytes]:
-    """Words that the tokenizer encodes one by one, with fewer different ones than the text has.
-
-    White space is dropped by the tokenizer and never crossed. Capitals are lowered as it does,
-    except where that could touch a composed letter (lead bytes CC and CD) or a special token.
-    """
-    raw = LAST_MARK.sub(rb" \1", text.encode())
-    plain = b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw
-    return (raw.lower() if plain else raw).split()
-
-
-class Encoder:
-    """Ids of whole texts, word by word, with a cache of the words of the last batches."""
-
-    def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs side by side
-        self.tokenizer = Tokenizer.from_str(definition)
-        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """The serialized ids of each text and then ``end``."""
-        split = [cut(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        new = set().union(*split) - self.known.keys()
-        again = new & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        self._add(list(new - again))
-        last = np.array([end], self.kind).tobytes()
-        return [b"".join([*map(self.known.__getitem__, words), last]) for words in split]
-
-    def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode(
-            [w.decode() for w in words], is_pretokenized=True, add_special_tokens=False
-        )
-        raw = np.array(found.ids, self.kind).tobytes()
-        of_word = np.array(found.word_ids, np.int64)
-        ends = np.searchsorted(of_word, np.arange(len(words)), "right") * self.kind.itemsize
-        start = 0
-        for word, stop in zip(words, ends.tolist(), strict=True):
-            self.known[word] = raw[start:stop]
-            start = stop
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(definition: str) -> Encoder:
-    """One encoder, with its cache, for all tasks of a worker process."""
-    return Encoder(definition)
-
-
 def dictionary(docs: DataFrame, definition: str, end: int, rows: int, size: int) -> bytes:
     """A dictionary trained on the ids of at most ``rows`` documents; empty if there are too few."""
     some = bounded_sample(docs, rows).where(F.octet_length("text") < 1 << 16).collect()
