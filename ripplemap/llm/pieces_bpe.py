@@ -7,11 +7,12 @@ In a word, the encoding is the only sequence of pieces in which every two neighb
 that is, in which merging the two pieces' characters anew gives these two pieces again. It is found
 like this: take the longest piece at the current position (Aho-Corasick); if it is not compatible
 with the piece before, take the next shorter one; if there is none, mark the position as failed in a
-bitfield, drop the piece before and go on from there with a shorter one. A piece that would end at a
+bitfield (a byte each), drop the piece before and go on from there with a shorter one. A piece that would end at a
 failed position is passed over, so no position is tried twice. The longest pieces of a whole word are
 tried first at once, since most words need no more.
 
-Compatibility is kept by pairs and encodings by words, in caches of bounded size.
+Compatibility is kept by pairs, and encodings, with what they decode to, by words, in caches of
+bounded size: the words of the last generation are not looked for again.
 
 Defined results: a null text is encoded as an empty one, which has the end id only; characters of no
 piece are encoded as bytes; repeated rows are encoded each; an empty table gives an empty result;
@@ -21,6 +22,7 @@ other columns play no part, whatever their names.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -34,7 +36,7 @@ from ripplemap.llm.common import pieces, texts
 
 # Fixed value: the word mark, which stands for a space.
 MARK = "▁"
-WORDS, PAIRS = 400_000, 400_000
+WORDS, PAIRS = 300_000, 700_000
 
 
 class Model:
@@ -56,16 +58,19 @@ class Model:
             if sp.is_byte(i):
                 self.bytes[int(self.names[i][3:5], 16)] = i
         self.end = sp.eos_id()
-        characters = {c for name in self.ids for c in name}
-        if any(MARK in name.lstrip(MARK) for name in self.ids) or characters - self.ids.keys():
+        self.characters = {c for name in self.ids for c in name}
+        if any(MARK in name.lstrip(MARK) for name in self.ids) or self.characters - self.ids.keys():
             raise ValueError("a piece has a mark inside, or a character that is no piece")
         self.longest = ahocorasick.Automaton()
         for name in self.ids:
             self.longest.add_word(name, name)
         self.longest.make_automaton()
         self.shorter = {name: self._prefix(name) for name in self.ids}
+        self.most = max(map(len, self.ids))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}  # 32-bit ids
+        # 32-bit ids of words and what they decode to; the words of the generation before.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         # What each id decodes to.
         self.raw = [b""] * size
         for name, i in self.ids.items():
@@ -102,28 +107,31 @@ class Model:
     def split(self, word: str) -> list[str]:
         """The pieces of a word whose characters are all pieces."""
         greedy = [name for _, name in self.longest.iter_long(word)]
-        if all(map(self.compatible, greedy, [*greedy[1:], ""])):
+        if all(map(self.fits.get, zip(greedy, [*greedy[1:], ""]))):  # pairs met before
             return greedy
-        return self._backtrack(word)
-
-    def _whole(self, name: str) -> bool:
-        """Whether merging gives the piece itself; an unreachable piece is in no encoding."""
-        return self.compatible(name, "")
+        for k, pair in enumerate(zip(greedy, [*greedy[1:], ""])):
+            if not self.compatible(*pair):
+                return self._backtrack(word, greedy[:k], greedy[k])
+        return greedy
 
     def _longest_at(self, word: str, at: int) -> str:
-        return next(self.longest.iter_long(word, at))[1]
-
-    def _backtrack(self, word: str) -> list[str]:
-        open_at = (1 << (len(word) + 1)) - 1  # a bit for each position that has not failed
-        taken: list[str] = []
-        at, name = 0, self._longest_at(word, 0)
+        """No more than a piece's length is looked at, however long the word."""
+        return next(self.longest.iter_long(word[at : at + self.most]))[1]
+
+    def _backtrack(self, word: str, taken: list[str], name: str | None) -> list[str]:
+        """Go on after ``taken``, whose neighbours are compatible, with ``name`` as the longest."""
+        known, shorter = self.fits.get, self.shorter
+        failed = bytearray(len(word) + 1)
+        at = sum(map(len, taken))
         while True:
             while name is not None:
                 end = at + len(name)
-                fits = self.compatible(taken[-1], name) if taken else self._whole(name)
-                if fits and open_at >> end & 1:
-                    break
-                name = self.shorter[name]
+                if not failed[end]:
+                    pair = (taken[-1], name) if taken else (name, "")
+                    fits = known(pair)
+                    if fits or (fits is None and self.compatible(*pair)):
+                        break
+                name = shorter[name]
             if name is not None:
                 taken.append(name)
                 at = end
@@ -131,23 +139,28 @@ class Model:
                     return taken
                 name = self._longest_at(word, at)
             else:
-                open_at &= ~(1 << at)
+                failed[at] = 1
                 name = taken.pop()
                 at -= len(name)
                 # Its end has failed now, so that the loop goes on to a shorter piece.
 
-    def encode_word(self, word: str) -> bytes:
-        """32-bit ids of a word of ``words``, which is kept for later."""
+    def encode_word(self, word: str) -> tuple[bytes, bytes]:
+        """32-bit ids of a word of ``words``, and their bytes; both are kept for later."""
+        found = self.before.get(word)
+        if found is None:
+            ids: list[int] = []
+            own = word if word[:1] == "\n" else MARK + word
+            parts = [own] if self.characters.issuperset(own) else self._known_parts(own)
+            for part in parts:
+                if part[0] in self.ids:
+                    ids += map(self.ids.__getitem__, self.split(part))
+                else:
+                    ids += [self.bytes[b] for b in part.encode()]
+            found = array("i", ids).tobytes(), b"".join(map(self.raw.__getitem__, ids))
         if len(self.known) >= WORDS:
-            self.known.clear()
-        ids: list[int] = []
-        for part in self._known_parts(word if word[:1] == "\n" else MARK + word):
-            if part[0] in self.ids:
-                ids += [self.ids[name] for name in self.split(part)]
-            else:
-                ids += [self.bytes[b] for b in part.encode()]
-        self.known[word] = np.array(ids, "<i4").tobytes()
-        return self.known[word]
+            self.known, self.before = {}, self.known
+        self.known[word] = found
+        return found
 
     def _known_parts(self, word: str) -> Iterator[str]:
         """Runs of characters that are pieces, and each other character."""
@@ -161,12 +174,15 @@ class Model:
         if start < len(word):
             yield word[start:]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, with the end id."""
-        known, new = self.known, self.encode_word
-        found = [known.get(w) or new(w) for w in words(text)]
-        found.append(np.int32(self.end).tobytes())
-        return np.frombuffer(b"".join(found), "<i4")
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        """Ids of a text, with the end id, and the text that they decode to."""
+        known, new = self.known.get, self.encode_word
+        found = [known(w) or new(w) for w in words(text)]
+        ids = b"".join([f[0] for f in found]) + np.int32(self.end).tobytes()
+        raw = b"".join([f[1] for f in found])
+        if raw[:1] == b" ":  # the mark before the text
+            raw = raw[1:]
+        return np.frombuffer(ids, "<i4"), raw.decode("utf-8", "replace")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are left out, and so is the mark before the text."""
@@ -216,14 +232,14 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(proto.value)
         for batch in pieces(batches, 4 << 20):
-            ids = [model.encode(t or "") for t in batch.column("text").to_pylist()]
+            both = [model.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = [b[0] for b in both]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            decoded = [model.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
             columns = [
                 batch.column("key"),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                pa.array(decoded, pa.string()),
+                pa.array([b[1] for b in both], pa.string()),
             ]
             yield pa.record_batch(columns, names=["key", "ids", "decoded"])
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -29,9 +30,9 @@ LETTERS = "abctheingo é ß日 ▁\n\t<s>/0xA'.​😀́"
 @given(st.text(alphabet=st.one_of(st.sampled_from(LETTERS), st.characters(codec="utf-8")), max_size=60))
 def test_encodes_and_decodes_as_the_library(text):
     ids = SP.encode(text, add_eos=True)
-    got = MODEL.encode(text)
+    got, decoded = MODEL.encode(text)
     assert got.tolist() == ids
-    assert MODEL.decode(got) == SP.decode(ids)
+    assert MODEL.decode(got) == decoded == SP.decode(ids)
 
 
 def test_backtracking_where_the_longest_piece_is_wrong():
@@ -43,10 +44,21 @@ def test_backtracking_where_the_longest_piece_is_wrong():
         want = MODEL.merge(list(word))
         greedy = [n for _, n in MODEL.longest.iter_long(word)]
         tried += greedy != want
-        assert MODEL._backtrack(word) == want == MODEL.split(word)
+        first = MODEL._longest_at(word, 0)
+        assert MODEL._backtrack(word, [], first) == want == MODEL.split(word)
     assert tried > 200
 
 
+def test_very_long_words():
+    rnd = random.Random(8)
+    for letters, n in (("abcdefghij", 2_000_000), ("the", 100_000), ("é日x", 50_000)):
+        word = "".join(rnd.choices(letters, k=n))
+        start = time.process_time()
+        ids, decoded = MODEL.encode(word)
+        assert time.process_time() - start < 15
+        assert ids.tolist() == SP.encode(word, add_eos=True) and decoded == word
+
+
 def test_round_trip_operator(docs):
     rows = [(1, None, "s"), (2, "", "s"), (3, "  a \n b", "s"), (3, "x", "s"), (None, "word " * 30_000, "s")]
     got = pieces_bpe.round_trip(docs(rows), FILE).collect()
@@ -63,7 +75,7 @@ def test_caches_are_bounded(monkeypatch):
     rnd = random.Random(2)
     for _ in range(300):
         text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(6))) for _ in range(9))
-        assert model.encode(text).tolist() == SP.encode(text, add_eos=True)
+        assert model.encode(text)[0].tolist() == SP.encode(text, add_eos=True)
         assert len(model.known) <= 51 and len(model.fits) <= 51
 
 
