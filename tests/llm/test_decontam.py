@@ -60,6 +60,38 @@ def test_recall_and_precision(items, rate):
     assert hit >= (1.0 if rate == 0 else 0.9)
 
 
+@pytest.mark.parametrize("gone", [1, 2, 3])
+def test_items_that_lost_words_at_either_end_of_a_document(items, gone):
+    index = Index([(k, t.encode()) for k, t in items], Bounds())
+    able = [k for k, n in enumerate(index.edits) if n >= gone]
+    lost = [index.ids[k] for k in able]
+    split = {k: items[k][1].split() for k in lost}
+    for head, tail in ((gone, 0), (0, gone)):
+        texts = [" ".join(split[k][head : len(split[k]) - tail]).encode() for k in lost]
+        alone = [{h[1] for h in index.search([t])} for t in texts]  # the first of a batch
+        later = [set() for _ in texts]
+        for doc, k, *_ in index.search([b"", b"x y z", *texts]):
+            later[doc - 2].add(k)
+        for found in (alone, later):
+            assert sum(k in f for k, f in zip(able, found)) >= 0.9 * len(able)
+
+
+def test_short_items_match_exact_copies_only(spark, docs):
+    bench = [(1, "w1 w2 w3 w4"), (2, "one two three"), (None, "Alpha beta, gamma delta epsilon."), (-1, "a b c d e f g")]
+    rows = [
+        (1, "w0 w1 w2 w3 w4 w5", "s"), (2, "w1 w2 w3 x w4", "s"), (3, "one two three", "s"),
+        (4, "alpha beta gamma delta epsilon", "s"), (5, "w1 w2 w3 w4", "s"), (6, "a b c d e f", "s"),
+    ]
+    found = decontam.matches(docs(rows), spark.createDataFrame(bench, "item_id long, text string"))
+    got = sorted(((r.key, r.item, r.edits, r.start, r.stop) for r in found.collect()), key=str)
+    assert got == [(1, 1, 0, 1, 5), (4, None, 0, 0, 5), (5, 1, 0, 0, 4)]
+
+
+def test_a_recall_out_of_reach_is_an_error(items):
+    with pytest.raises(ValueError, match="repetitions"):
+        Index([(k, t.encode()) for k, t in items], Bounds(recall=1.0, max_repetitions=2))
+
+
 def test_verify_is_exact(items):
     rnd = random.Random(5)
     index = Index([(k, t.encode()) for k, t in items], Bounds())
