@@ -32,20 +32,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; ``n_chars`` counts the new text where there was a count."""
-    found = secrets.spans(docs["text"], secrets.model_of(docs))
-    masked = docs.withColumn("found", found).withColumn(
-        "masked",
-        F.when(F.size("found") > 0, secrets.redacted(F.col("text"), F.col("found"))).otherwise(
-            F.col("text")
-        ),
-    )
-    new = {
-        "text": F.col("masked"),
-        "n_chars": F.when(F.size("found") > 0, F.length("masked").cast("long")).otherwise(
-            F.col("n_chars")
-        ),
-    }
-    return masked.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    own = F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row")
+    found = docs.select(own, secrets.spans(docs["text"], secrets.model_of(docs)).alias("found"))
+    some = F.size("found") > 0
+    text = F.when(some, secrets.redacted(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))
+    masked = found.select("row", some.alias("some"), text.alias("text"))
+    counted = F.when(F.col("some"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": counted}
+    return masked.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,13 @@ prefix meet in one task and are merged elementwise. The merged stripes hold all
   occurs at least as often as the longer one.
 
 A phrase as frequent as asked for has only such phrases inside. So a pass counts no window whose two
-shorter phrases were not frequent. A bitmap of fixed size (``FILTER_BITS``) tells tasks which were;
-its false alarms cost time only, since merged counts are exact. Prefixes with more than one in
-``HOT_SHARE`` of all words (at most that many a length) have their stripes cut into ``SLICES`` by next word.
+shorter phrases were not frequent. That leaves many pairs of common words, so that pairs are first
+counted by hash, in one bucket for each ``WORDS_A_BUCKET`` words of the corpus, and those in buckets
+with too few occurrences are left out as well. Bitmaps of fixed size (``FILTER_BITS``) tell tasks
+which phrases and buckets may be frequent; their false alarms cost time only, since merged counts are
+exact. Prefixes with more than one in
+``HOT_SHARE`` of all words (at most that many a length) have their stripes cut by next word. A task
+sends its stripes in bundles, ``BUNDLES`` for each partition of the shuffle.
 
 Words, pieces and case are those of ``Cut``. Defined results: a null or empty text has no words; a
 null group is called ``und``; repeated rows count as often as they occur; ties are ordered by count,
@@ -39,8 +43,9 @@ BLANKS = b" \t"
 
 FILTER_BITS = 1 << 26
 HOT_SHARE = 2000
-SLICES = 64
-BLOCK_BYTES = 24 << 20
+BUNDLES = 4
+WORDS_A_BUCKET = 16
+BLOCK_BYTES = 20 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: blank, 2: break
 _KIND[list(BLANKS)] = 1
@@ -57,14 +62,13 @@ class Cut:
         kind = _KIND[raw]
         part = kind == 0
         edge = np.flatnonzero(np.diff(part, prepend=False, append=False))
-        starts, stops = edge[::2], edge[1::2]
-        breaks = np.flatnonzero(kind == 2)
-        self.piece = np.searchsorted(breaks, starts)
-        ends = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), edge[::2]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(edge[1::2] - edge[::2])])
+        del kind, edge
         words = pa.Array.from_buffers(
             pa.large_binary(),
-            len(starts),
-            [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[part]))],
+            len(self.piece),
+            [None, pa.py_buffer(ends), pa.py_buffer(raw[part])],
         ).dictionary_encode()
         self.words = words.indices.to_numpy()
         self.names = words.dictionary.cast(pa.large_string())
@@ -85,26 +89,49 @@ def longer(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def window_hashes(cut: Cut, n: int) -> np.ndarray:
     """For each word, the hash of the ``n`` words that begin there, pieces not regarded."""
-    own, total = cut.hashes[cut.words], max(len(cut.words) - n + 1, 0)
+    total = max(len(cut.words) - n + 1, 0)
     out = np.full(total, cut.seed, np.uint64)
     for k in range(n):
-        out = longer(out, own[k : k + total])
+        out = longer(out, cut.hashes[cut.words[k : k + total]])
     return out
 
 
+def _place(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A bucket of so many (a power of two); with fewer of them, the same modulo their number."""
+    return hashes >> np.uint64(17) & np.uint64(size - 1)
+
+
+def _cells(bit: np.ndarray) -> pa.RecordBatch:
+    """Set bits as 64-bit cells."""
+    cells, inverse = np.unique(bit >> np.uint64(6), return_inverse=True)
+    values = np.zeros(len(cells), np.uint64)
+    np.bitwise_or.at(values, inverse, np.uint64(1) << (bit & np.uint64(63)))
+    return pa.record_batch(
+        [pa.array(cells.astype(np.int64)), pa.array(values.view(np.int64))], names=["cell", "value"]
+    )
+
+
 class Filter:
     """Phrases that may be frequent: none of those is missing."""
 
     def __init__(self, cells: np.ndarray):
         self.cells = cells
 
+    @staticmethod
+    def collected(found: DataFrame, bits: int) -> Filter:
+        """From ``cell`` and ``value``; at most ``bits / 64`` numbers reach the driver."""
+        cells = np.zeros(bits // 64, np.uint64)
+        for row in found.groupBy("cell").agg(F.bit_or("value").alias("value")).toLocalIterator():
+            cells[row["cell"]] = row["value"] & 0xFFFFFFFFFFFFFFFF
+        return Filter(cells)
+
     def test(self, hashes: np.ndarray) -> np.ndarray:
-        bit = (hashes >> np.uint64(17)) & np.uint64(len(self.cells) * 64 - 1)
+        bit = _place(hashes, len(self.cells) * 64)
         return (self.cells[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     @staticmethod
     def of(phrases: DataFrame, bits: int) -> Filter:
-        """From a table of ``lang`` and ``phrase``; at most ``bits / 64`` numbers reach the driver."""
+        """From a table of ``lang`` and ``phrase``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -114,20 +141,10 @@ class Filter:
                 split = pd.DataFrame([p.split(" ") for p in batch.column("phrase").to_pylist()])
                 for k in split:
                     out = longer(out, word_hashes(split[k]))
-                bit = (out >> np.uint64(17)) & np.uint64(bits - 1)
-                cells, inverse = np.unique(bit >> np.uint64(6), return_inverse=True)
-                values = np.zeros(len(cells), np.uint64)
-                np.bitwise_or.at(values, inverse, np.uint64(1) << (bit & np.uint64(63)))
-                yield pa.record_batch(
-                    [pa.array(cells.astype(np.int64)), pa.array(values.view(np.int64))],
-                    names=["cell", "value"],
-                )
+                yield _cells(_place(out, bits))
 
-        cells = np.zeros(bits // 64, np.uint64)
         found = phrases.select("lang", "phrase").mapInArrow(run, "cell long, value long")
-        for row in found.groupBy("cell").agg(F.bit_or("value").alias("value")).toLocalIterator():
-            cells[row["cell"]] = row["value"] & 0xFFFFFFFFFFFFFFFF
-        return Filter(cells)
+        return Filter.collected(found, bits)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Cut]:
@@ -159,13 +176,83 @@ def word_counts(texts: DataFrame, block_bytes: int) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
 
 
-def _stripes(cut: Cut, n: int, frequent: Filter, hot: set[int]) -> pa.RecordBatch | None:
-    """Stripes of all prefixes of ``n - 1`` words: the next words of each, with their counts."""
+def _windows(cut: Cut, n: int, shorter: Filter) -> np.ndarray:
+    """Where windows of ``n`` words begin whose two shorter phrases may be frequent."""
     if len(cut.words) < n:
-        return None
-    short = window_hashes(cut, n - 1)
-    may = frequent.test(short)
-    at = np.flatnonzero(may[:-1] & may[1:] & (cut.piece[: 1 - n] == cut.piece[n - 1 :]))
+        return np.zeros(0, np.int64)
+    may = shorter.test(window_hashes(cut, n - 1))
+    return np.flatnonzero(may[:-1] & may[1:] & (cut.piece[: 1 - n] == cut.piece[n - 1 :]))
+
+
+def _hashes_at(cut: Cut, n: int, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(at), cut.seed, np.uint64)
+    for k in range(n):
+        out = longer(out, cut.hashes[cut.words[at + k]])
+    return out
+
+
+def pair_filter(
+    texts: DataFrame, frequent: Filter, least: int, all_words: int, bits: int, block_bytes: int
+) -> Filter:
+    """Pairs in buckets with at least ``least`` occurrences, one bucket for some words of the corpus.
+
+    A task adds up the buckets of its own texts and sends them in ranges; a range is added up by one
+    task in an array of its buckets.
+    """
+    spark = texts.sparkSession
+    buckets = 1 << max(16, (all_words // WORDS_A_BUCKET).bit_length())
+    ranges = min(buckets, 1 << (BUNDLES * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    width, bits = buckets // ranges, min(bits, buckets)
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in _blocks(batches, block_bytes):
+            at = _windows(cut, 2, shared.value)
+            own, n = np.unique(_place(_hashes_at(cut, 2, at), buckets), return_counts=True)
+            place, inner = np.divmod(own.astype(np.int64), width)
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            offsets = pa.array(np.append(starts, len(own)), pa.int32())
+            steps = np.diff(inner, prepend=0)  # small numbers are shuffled in fewer bytes
+            steps[starts] = inner[starts]
+            made = [pa.array(steps, pa.int64()), pa.array(n, pa.int64())]
+            made = [pa.ListArray.from_arrays(offsets, x) for x in made]
+            yield pa.record_batch(
+                [pa.array(place[starts]), *made], names=["place", "steps", "counts"]
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, np.zeros(width, np.int64)
+
+        def done() -> pa.RecordBatch:
+            many = np.flatnonzero(total >= least) + held * width
+            return _cells(many.astype(np.uint64) & np.uint64(bits - 1))
+
+        for batch in batches:
+            lists = [batch.column(c) for c in ("steps", "counts")]
+            flat = [x.flatten().to_numpy() for x in lists]
+            ends = np.cumsum(lists[0].value_lengths().to_numpy())
+            for place, stop, n in zip(batch.column("place").to_pylist(), ends, lists[0].value_lengths().to_pylist()):
+                if held is not None and place != held:
+                    yield done()
+                    total[:] = 0
+                held = place
+                total[np.cumsum(flat[0][stop - n : stop])] += flat[1][stop - n : stop]
+        if held is not None:
+            yield done()
+
+    found = texts.mapInArrow(count, "place long, steps array<long>, counts array<long>")
+    dealt = found.repartition("place").sortWithinPartitions("place")
+    return Filter.collected(dealt.mapInArrow(add, "cell long, value long"), bits)
+
+
+def _stripes(
+    cut: Cut, n: int, shorter: Filter, own: Filter | None, hot: set[int], buckets: int
+) -> pa.RecordBatch | None:
+    """Stripes of all prefixes of ``n - 1`` words, the next words of each with their counts, in
+    bundles by a hash of the prefix, or for a hot prefix of prefix and next word."""
+    at = _windows(cut, n, shorter)
+    if own is not None:
+        at = at[own.test(_hashes_at(cut, n, at))]
     if not len(at):
         return None
     size = np.int64(len(cut.names))
@@ -176,48 +263,62 @@ def _stripes(cut: Cut, n: int, frequent: Filter, hot: set[int]) -> pa.RecordBatc
     first = np.zeros(int(prefix.max()) + 1, np.int64)
     first[prefix] = where
     last = cut.words[at + n - 1].astype(np.int64)
-    sliced = np.isin(short[first], np.fromiter(hot, np.uint64, len(hot)))[prefix]
-    piece = np.where(sliced, cut.hashes[last] % np.uint64(SLICES), 0).astype(np.int64)
-    keys, counts = np.unique((prefix * SLICES + piece) * size + last, return_counts=True)
+    hashes = _hashes_at(cut, n - 1, first)
+    hot_prefix = np.isin(hashes, np.fromiter(hot, np.uint64, len(hot)))
+    keys, counts = np.unique(prefix * size + last, return_counts=True)
     stripe, following = np.divmod(keys, size)
-    starts = np.flatnonzero(np.diff(stripe, prepend=-1))
-    place = first[stripe[starts] // SLICES]
+    mixed = hashes[stripe]
+    mixed = np.where(hot_prefix[stripe], longer(mixed, cut.hashes[following]), mixed)
+    bucket = (mixed >> np.uint64(7)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, stripe, following, counts = (x[order] for x in (bucket, stripe, following, counts))
+    starts = np.flatnonzero((np.diff(bucket, prepend=buckets) != 0) | (np.diff(stripe, prepend=-1) != 0))
+    place = first[stripe[starts]]
     names = [cut.names.take(pa.array(cut.words[place + k])) for k in range(n - 1)]
     offsets = pa.array(np.append(starts, len(keys)), pa.int32())
-    return pa.record_batch(
+    prefixes = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())).cast(pa.string())
+    stripes = pa.StructArray.from_arrays(
         [
-            pa.array([cut.group] * len(starts)),
-            pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())).cast(pa.string()),
-            pa.array(stripe[starts] % SLICES, pa.int32()),
+            prefixes,
             pa.ListArray.from_arrays(offsets, cut.names.take(pa.array(following)).cast(pa.string())),
             pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
         ],
-        names=["lang", "prefix", "slice", "following", "counts"],
+        ["prefix", "following", "counts"],
+    )
+    own = bucket[starts]
+    begins = np.flatnonzero(np.diff(own, prepend=buckets) != 0)
+    return pa.record_batch(
+        [
+            pa.array([cut.group] * len(begins)),
+            pa.array(own[begins].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.append(begins, len(own)), pa.int32()), stripes),
+        ],
+        names=["lang", "bucket", "stripes"],
     )
 
 
 def merged_stripes(
-    texts: DataFrame, n: int, frequent: Filter, hot: set[int], block_bytes: int
+    texts: DataFrame, n: int, shorter: Filter, own: Filter | None, hot: set[int], block_bytes: int
 ) -> DataFrame:
     """``lang``, ``phrase`` (of ``n`` words) and ``count``: the entries of all merged stripes."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, hot))
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((shorter, own, hot))
+    buckets = BUNDLES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in _blocks(batches, block_bytes):
-            stripes = _stripes(cut, n, *shared.value)
-            if stripes is not None:
-                # Few entries a batch: a common prefix has as many as there are words.
-                yield from (stripes.slice(k, 5000) for k in range(0, stripes.num_rows, 5000))
-
-    stripes = texts.mapInArrow(
-        run,
-        "lang string, prefix string, slice int, following array<string>, counts array<long>",
-    )
-    key = ["lang", "prefix", "slice"]
-    entries = stripes.repartition(*key).select(
-        *key, F.inline(F.arrays_zip("following", "counts"))
+            bundles = _stripes(cut, n, *shared.value, buckets)
+            if bundles is not None:
+                yield from (bundles.slice(k, 20) for k in range(0, bundles.num_rows, 20))
+
+    stripe = "struct<prefix: string, following: array<string>, counts: array<long>>"
+    bundles = texts.mapInArrow(run, f"lang string, bucket int, stripes array<{stripe}>")
+    entries = (
+        bundles.repartition("bucket")
+        .select("lang", "bucket", F.inline("stripes"))
+        .select("lang", "bucket", "prefix", F.inline(F.arrays_zip("following", "counts")))
     )  # the aggregation needs no exchange of its own
-    total = entries.groupBy(*key, "following").agg(F.sum("counts").alias("count"))
+    total = entries.groupBy("bucket", "lang", "prefix", "following").agg(F.sum("counts").alias("count"))
     return total.select("lang", F.concat_ws(" ", "prefix", "following").alias("phrase"), "count")
 
 
@@ -253,8 +354,10 @@ def frequent_phrases(
     levels = [words.where(F.col("phrase").isNotNull())]
     all_words = totals.agg(F.sum("total")).first()[0] or 0
     while len(levels) < longest and not levels[-1].isEmpty():
-        frequent, hot = Filter.of(levels[-1], filter_bits), _hot(levels[-1], all_words)
-        found = merged_stripes(own, len(levels) + 1, frequent, hot, block_bytes)
+        shorter, pairs, hot = Filter.of(levels[-1], filter_bits), None, _hot(levels[-1], all_words)
+        if len(levels) == 1:
+            pairs = pair_filter(own, shorter, least, all_words, filter_bits, block_bytes)
+        found = merged_stripes(own, len(levels) + 1, shorter, pairs, hot, block_bytes)
         levels.append(stored(found.where(F.col("count") >= least), f"phrases_{len(levels) + 1}"))
     out = levels[0].withColumn("words", F.lit(1))
     for k, level in enumerate(levels[1:], 2):

@@ -3,7 +3,7 @@
 1. Fingerprints: one bit vector of 64 bits a document, from its whole text.
 2. Shards: a tree of vantage points is fitted to a bounded sample of the different fingerprints. It
    halves them again and again: those within a node's radius of its vantage point, and the others.
-   Every fingerprint has its home in one leaf, a shard. A fingerprint within ``max_bits`` of a border
+   Every fingerprint has its home in one leaf, a shard of about a million. A fingerprint within ``max_bits`` of a border
    on the inner side is also sent to the outer side as a guest, so that each pair of close
    fingerprints meets in the shard of one of them. The triangle inequality makes this exact for any
    tree, so the sample decides on balance only.
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import pieces, texts
@@ -35,8 +35,10 @@ from ripplemap.plans.session import stored
 
 BITS = 64
 SEED = 42
-SHARD_SIZE = 32_768
-SAMPLE = 20_000
+SHARD_SIZE = 1 << 20
+# Below that size, shards are made for the sake of more tasks only, and no more than this many.
+EARLY_SIZE, EARLY_SHARDS = 32_768, 8
+SAMPLE, SAMPLE_OF_NODE = 20_000, 64
 LEAF = 128
 BLOCK = 1 << 20
 
@@ -61,18 +63,21 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3):
-    """``key`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, more: dict = {}
+) -> DataFrame:
+    """``key``, ``fp`` (the fingerprint's bits as a signed long) and ``more`` longs of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 16 << 20):
             whole = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.fromiter((fingerprint(t or b"", width) for t in whole), np.uint64, len(whole))
-            yield pa.record_batch(
-                [batch.column("key"), pa.array(fps.view(np.int64))], names=["key", "fp"]
-            )
+            kept = [batch.column(c) for c in ("key", *more)]
+            yield pa.record_batch([*kept, pa.array(fps.view(np.int64))], names=["key", *more, "fp"])
 
-    return texts(docs, key, text).mapInArrow(run, "key long, fp long")
+    own = texts(docs, key, text, *(c.alias(name) for name, c in more.items()))
+    more = tuple(more)
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *more, "fp")))
 
 
 # Vantage-point tree ---------------------------------------------------------------------------
@@ -82,7 +87,24 @@ def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def fit_tree(sample: np.ndarray, depth: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def _split(own: np.ndarray, reach: int, rng) -> tuple[np.uint64, int]:
+    """Of some points and radii near the median, those with the fewest fingerprints at the border."""
+    best = None
+    for point in own[rng.integers(len(own), size=8)]:
+        d = np.sort(distance(own, point).astype(np.int64))
+        low, high = d[int(0.4 * len(d))], d[int(0.6 * len(d))]
+        for radius in range(int(low), int(high) + 1):
+            border = np.searchsorted(d, [radius - reach, radius + reach], "right")
+            uneven = abs(2 * np.searchsorted(d, radius, "right") / len(d) - 1)
+            cost = (border[1] - border[0]) / len(d) + uneven / 4
+            if best is None or cost < best[0]:
+                best = cost, point, radius
+    return best[1:]
+
+
+def fit_tree(
+    sample: np.ndarray, depth: int, reach: int = 3, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
     """Vantage points and radii of a complete tree; node k has the children 2k+1 and 2k+2."""
     rng = np.random.default_rng(seed)
     points = rng.integers(0, 2**63, 2**depth - 1, np.uint64)
@@ -91,10 +113,8 @@ def fit_tree(sample: np.ndarray, depth: int, seed: int = 7) -> tuple[np.ndarray,
     for node in range(len(points)):
         own = members.pop(node, sample[:0])
         if len(own):
-            points[node] = own[rng.integers(len(own))]
-            d = distance(own, points[node])
-            radii[node] = int(np.median(d))
-            inner = d <= radii[node]
+            points[node], radii[node] = _split(own, reach, rng)
+            inner = distance(own, points[node]) <= radii[node]
             members[2 * node + 1], members[2 * node + 2] = own[inner], own[~inner]
     return points, radii
 
@@ -187,12 +207,20 @@ def forest(fps: np.ndarray, homes: int, reach: int, seed: int) -> tuple[np.ndarr
     return linked, label[linked]
 
 
+def tree_depth(n: int, shard_size: int) -> int:
+    """Each level sends about a quarter of the fingerprints on as guests, and more of the guests, so
+    shards are as large as a task can search and few are made before that."""
+    early = min(EARLY_SHARDS, n / min(EARLY_SIZE, shard_size))
+    return max(0, int(np.ceil(np.log2(max(1, n / shard_size, early)))))
+
+
 def links(different: DataFrame, reach: int, shard_size: int = SHARD_SIZE) -> DataFrame:
     """``a`` and ``b``: a forest over the different fingerprints ``fp`` that lie within ``reach``."""
     n = different.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard_size)))))
-    rows = different.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if depth else 0).collect()
-    tree = fit_tree(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), depth)
+    depth = tree_depth(n, shard_size)
+    some = max(SAMPLE, SAMPLE_OF_NODE << depth) if depth else 0
+    rows = different.orderBy(F.xxhash64("fp"), "fp").limit(some).collect()
+    tree = fit_tree(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), depth, reach)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +279,13 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _roots(groups: DataFrame, max_bits: int, shard_size: int) -> DataFrame:
+    """``groups`` (one row for each ``fp``) with ``root``, one fingerprint of each component."""
+    root = stars(links(groups.select("fp"), max_bits, shard_size))
+    root = root.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return groups.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -262,25 +297,42 @@ def near_duplicates(
     """``key``, ``fp`` and ``component_id`` (the smallest key it can reach) of every row."""
     found = stored(fingerprints(docs, key, text, width), "fingerprints")
     groups = stored(found.groupBy("fp").agg(F.min("key").alias("first")), "groups")
-    root = stars(links(groups.select("fp"), max_bits, shard_size))
-    root = root.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = groups.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _roots(groups, max_bits, shard_size)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = stored(rooted.join(named, "root").select("fp", "component_id"), "components")
     return found.join(of_fp, "fp").select("key", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest key stays.
+def one_of_each(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 3,
+    max_bits: int = 3,
+    shard_size: int = SHARD_SIZE,
+) -> DataFrame:
+    """``docs`` without near copies: exactly one row of each component stays.
 
-    Rows with the same key count as one document, of which one stays.
+    It is the one with the smallest key, null keys last; of several rows with that key, one chosen by
+    a hash of the whole row. Whole rows are told apart by two hashes, so that rows which share a key,
+    or have none, are documents of their own. Texts are shuffled only of rows that occur twice.
     """
-    stay = near_duplicates(docs, key, text).where(F.col("key").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("key").alias("kept_key")).distinct()
-    kept = docs.join(stay, docs[key].cast("long").eqNullSafe(stay["kept_key"]), "left_semi")
-    order = Window.partitionBy(docs[key]).orderBy(F.xxhash64(*map(F.col, docs.columns)))
-    return (
-        kept.select(F.struct(*docs.columns).alias("row"), F.row_number().over(order).alias("place"))
-        .where("place = 1")
-        .select("row.*")
-    )
+    own = [docs[c] for c in docs.columns]
+    hashes = {"one": F.xxhash64(*own), "two": F.xxhash64(F.lit("two"), *own)}
+    ident = ["one", "two"]
+    found = fingerprints(docs, key, text, width, hashes)
+    rows = found.groupBy("fp", "key", *ident).agg(F.count("*").alias("copies"))
+    rows = stored(rows, "row_fingerprints")
+    first = F.struct(F.col("key").isNull().alias("no_key"), "key", *ident, "copies")
+    groups = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "row_groups")
+    stay = _roots(groups, max_bits, shard_size).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stored(stay.select("first.one", "first.two", "first.copies"), "kept_rows")
+    gone = rows.select(*ident).join(stay, ident, "left_anti").select(*ident, F.lit(0).alias("copies"))
+    # Few rows are marked, and a broadcast if Spark finds them small: those that go or are repeated.
+    marks = stored(gone.union(stay.where("copies > 1").select(*ident, F.lit(2))), "marked_rows")
+    named = docs.select(F.struct(*own).alias("row"), *(c.alias(n) for n, c in hashes.items()))
+    marked = named.join(marks, ident, "left")
+    kept = marked.where(F.col("copies").isNull())
+    if not marks.where("copies > 1").isEmpty():
+        kept = kept.union(marked.where("copies > 1").dropDuplicates(ident))
+    return kept.select("row.*")

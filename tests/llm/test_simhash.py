@@ -89,10 +89,33 @@ def test_whole_operator(docs):
         (str(r[0]), fp, str(first.get(g))) for r, fp, g in zip(rows, fps, groups, strict=True)
     )
     assert want == sorted((str(r.key), r.fp % (1 << 64), str(r.component_id)) for r in got)
-    kept = simhash.one_of_each(docs(rows))
+    kept = simhash.one_of_each(docs(rows), shard_size=64)
     assert kept.columns == docs(rows).columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(map(str, ids)) == sorted(map(str, {first.get(g) for g in groups}))
+    of_row = {(r[0], r[1]): g for r, g in zip(rows, groups)}
+    stayed = [(of_row[r.doc_id, r.text], r.doc_id) for r in kept.collect()]
+    assert sorted(stayed, key=str) == sorted(((g, first.get(g)) for g in set(groups)), key=str)
+
+
+def test_one_row_of_each_group_whatever_the_ids(docs):
+    a, b, c = ("the cat sat on a mat", "quite another text here", "and one more of them all")
+    rows = [(5, a, "s"), (5, b, "s"), (7, b, "s"), (None, a, "s"), (None, c, "s"), (None, c.upper(), "s")]
+    rows += [(9, "", "x"), (8, None, "x")] + [(4, "only copies of one row", "s")] * 50 + [(4, b, "t")]
+    for parts in (1, 4):
+        kept = simhash.one_of_each(docs(rows).repartition(parts)).collect()
+        got = [(r.doc_id, (r.text or "").lower()) for r in kept]
+        want = [(5, a), (4, b), (None, c), (8, ""), (4, "only copies of one row")]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_few_guests():
+    values = np.random.default_rng(5).integers(0, 2**64, 200_000, np.uint64, endpoint=False)
+    for n, most in ((10**6, 1.6), (10**7, 3)):
+        depth = simhash.tree_depth(n, simhash.SHARD_SIZE)
+        tree = simhash.fit_tree(values[: max(simhash.SAMPLE, simhash.SAMPLE_OF_NODE << depth)], depth)
+        sent = [(len(at), home) for _, at, home in simhash.route(values, tree, 3)]
+        assert sum(k for k, home in sent if home) == len(values)
+        assert sum(k for k, home in sent if not home) <= most * len(values)
+        assert max(k for k, home in sent if home) < 2.5 * len(values) / 2**depth
 
 
 def test_long_chain_and_empty(spark, docs):
