@@ -10,7 +10,7 @@ from ripplemap.functions.constants import MAX_HOPS, URN_PREFIX
 from ripplemap.functions.typing import type_family
 from ripplemap.functions.urn import dataset_urn, field_urn, registry_urn, urn_name, urn_platform
 from ripplemap.marts.segments import customer_segments
-from ripplemap.operators import annotate, catalog, decisions, expand, search
+from ripplemap.operators import annotate, catalog, cube, decisions, expand, search
 from ripplemap.plans.session import scratch, stored
 from ripplemap.sources import readers, sinks
 
@@ -83,11 +83,10 @@ def _(d: Driver) -> DataFrame:
 
 
 def _cube(d: Driver) -> DataFrame:
-    roots = d.entities().select("urn")
-    return expand.closure_cube(
-        roots, d.profile_edges, d.profile_column_edges, ["key", "missing"], list(PROFILES),
-        hubs=d.hubs, keep=stored,
-    )
+    found = cube.distances(
+        d.profile_edges, d.profile_column_edges, list(PROFILES), MAX_HOPS, stored, d.down_hubs
+    )
+    return found
 
 
 _CUBE_SQL = """
@@ -122,18 +121,18 @@ _CUBE_COUNT = """SELECT profile, root_urn, dir, "column", hops, count(*) AS n, m
 @query("s5_cube_sink", _cube_sql('SELECT profile, dir, "column", hops, count(*) AS n FROM ' + _CUBE_ROWS + " GROUP BY ALL"))
 def _(d: Driver) -> DataFrame:
     folder = scratch(d.spark, "cube")
-    cube = _cube(d)
-    sinks.write_cube(cube, folder)
-    back = sinks.read_back(d.spark, folder, cube)
-    return back.groupBy("profile", "dir", "column", "hops").agg(F.count(F.lit(1)).alias("n"))
+    rows = cube.cube_rows(_cube(d), list(PROFILES))
+    sinks.write_cube(rows, folder)
+    back = sinks.read_back(d.spark, folder, rows)
+    counts = back.groupBy("profile", "dir", "column", "d").agg(F.count(F.lit(1)).alias("n"))
+    hops = F.explode(F.sequence(F.col("d"), F.lit(MAX_HOPS))).alias("hops")
+    within = counts.select("profile", "dir", "column", hops, "n")
+    return within.groupBy("profile", "dir", "column", "hops").agg(F.sum("n").alias("n"))
 
 
 @query("g8_closure_cube", _cube_sql(_CUBE_COUNT))
 def _(d: Driver) -> DataFrame:
-    keys = ["profile", "root_urn", "dir", "column", "hops"]
-    return _cube(d).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("urn").alias("first_urn"), F.max("urn").alias("last_urn")
-    )
+    return cube.cube_sizes(_cube(d), list(PROFILES), MAX_HOPS)
 
 
 _TYPES = """CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint'
@@ -469,12 +468,8 @@ WHERE "column" = '*' AND dir = 'down' AND hops = 2 AND contains(root_urn, 'dataP
 )
 def _(d: Driver) -> DataFrame:
     asked = _requests(d, "nation", "n_nationkey", "nation-", "down", 2)
-    cube = expand.closure_cube(
-        search.lookup(d.entities(), asked.select(F.col("root_urn").alias("urn"))),
-        d.profile_edges, d.profile_column_edges, ["key"], list(PROFILES),
-        hubs=d.hubs, keep=stored,
-    )
-    return search.lineage(cube, asked, name_filter="ORDER")
+    found = cube.asked_distances(asked, d.profile_edges, d.profile_column_edges, stored)
+    return search.lineage(asked, found, name_filter="ORDER")
 
 
 @query(
@@ -551,12 +546,8 @@ def _(d: Driver) -> DataFrame:
         F.lit("down").alias("dir"), F.coalesce(F.nullif("column", F.lit("")), F.lit("*")).alias("column"),
         F.lit(3).alias("hops"),
     )
-    roots = search.lookup(d.entities(), rooted.select(F.col("root_urn").alias("urn"))).select("urn")
-    cube = expand.closure_cube(
-        roots, d.profile_edges, d.profile_column_edges, ["key", "missing"], list(PROFILES),
-        hubs=d.hubs, keep=stored,
-    )
-    return search.keyed_closure(asked, cube)
+    found = cube.asked_distances(asked, d.profile_edges, d.profile_column_edges, stored)
+    return search.keyed_closure(asked, found)
 
 
 # --- annotations ----------------------------------------------------------

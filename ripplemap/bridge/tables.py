@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ripplemap.functions import constants as K
 from ripplemap.functions.urn import dataset_urn
 from ripplemap.marts import facts, staging
-from ripplemap.operators import catalog, expand
+from ripplemap.operators import catalog, cube, expand
 from ripplemap.plans.review import Catalog, Review
 from ripplemap.plans.session import if_any, stored
 
@@ -148,6 +148,11 @@ class Driver:
     def hubs(self) -> DataFrame | None:
         return if_any(expand.link_hubs(self.profile_edges, list(PROFILES)))
 
+    @cached_property
+    def down_hubs(self) -> DataFrame | None:
+        links = cube.mask_links(self.profile_edges, list(PROFILES))
+        return if_any(cube.link_hubs(links, ["src"]))
+
     def catalog(self) -> Catalog:
         return Catalog(
             self.entities(), self.profile_edges, self.profile_column_edges, self.registry(),

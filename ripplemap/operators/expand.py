@@ -11,7 +11,6 @@ the root, so a table-level neighbour outside the column edges counts as hop 2.
 """
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,57 +267,3 @@ def with_trace(sub: DataFrame, scopes: DataFrame) -> DataFrame:
     return sub.join(scopes.select("scope_id", "root_urn"), "scope_id").select(
         *sub.columns, trace_text(F.col("direction"), F.col("hop"), root).alias("trace")
     )
-
-
-def closure_cube(
-    roots: DataFrame, edges: DataFrame, column_edges: DataFrame, columns: list[str],
-    profiles: list[str], max_hops: int = MAX_HOPS, hubs: DataFrame | None = None, keep: Keep = _unkept,
-) -> DataFrame:
-    """(profile, root_urn, dir, column, hops, urn) for hops 1..max; the column holds at every depth.
-
-    ``column`` is '*' for the table level. Distances are computed once; the cube repeats each
-    entity for every hop count that includes it. The root itself is not listed.
-    """
-    links = keep(_links(edges, profiles).drop("rank"), "links")
-    column_links = keep(_column_links(column_edges, profiles).drop("rank"), "column_links")
-    table_links = split_rows(links, hubs, _KEY, "dst")
-    col_links = split_rows(column_links, hubs, _KEY, "dst")
-    root = compact(F.col("urn"))
-    named = keep(roots.select(root.alias("root")), "roots")
-    both = named.select("root", F.col("root").alias("src"), _all_lanes(profiles).alias("lane"))
-
-    def walk(frontier: DataFrame, links: DataFrame, on: list[str], node: list[str]) -> list[DataFrame]:
-        levels = []
-        for hop in range(1, max_hops + 1):
-            frontier = (
-                repeat_rows(frontier, hubs, _KEY)
-                .join(links, on + shard_key(hubs))
-                .select("lane", "root", "column", *[F.col(f"dst{c}").alias(f"src{c}") for c in node])
-                .distinct()
-            )
-            frontier = keep(frontier, f"level_{hop}")
-            levels.append(
-                frontier.select("lane", "root", "column", F.col("src").alias("at"), F.lit(hop).alias("d"))
-            )
-        return levels
-
-    table = walk(both.withColumn("column", F.lit("*")), table_links, _KEY, [""])
-    scoped = walk(
-        both.withColumn("column", F.explode(F.array(*[F.lit(c) for c in columns])))
-        .withColumn("src_col", F.col("column")),
-        col_links, _KEY + ["src_col"], ["", "_col"],
-    )
-    every = reduce(DataFrame.unionByName, table + scoped)
-    return (
-        every.filter(F.col("at") != F.col("root"))
-        .groupBy("lane", "root", "column", "at")
-        .agg(F.min("d").alias("d"))
-        .select(
-            _profile_of(_place(F.col("lane")), profiles).alias("profile"),
-            expanded(F.col("root")).alias("root_urn"),
-            F.when(F.col("lane") % 2 == 0, "down").otherwise("up").alias("dir"),
-            "column",
-            F.explode(F.sequence(F.col("d"), F.lit(max_hops))).alias("hops"),
-            expanded(F.col("at")).alias("urn"),
-        )
-    )

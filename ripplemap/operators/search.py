@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplemap.functions.constants import GREP_CONTEXT
+from ripplemap.operators import cube
 
 # Quoted JSON strings, escapes included, with the colon that would make one a key.
 JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?)'
@@ -39,24 +40,25 @@ def lookup(entities: DataFrame, urns: DataFrame) -> DataFrame:
 
 
 def lineage(
-    cube: DataFrame, requests: DataFrame, name_filter: str | None = None, limit: int | None = None
+    requests: DataFrame, found: DataFrame, name_filter: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Keyed lineage (profile, root_urn, dir, column, hops) with an optional name filter and cap."""
-    keys = ["profile", "root_urn", "dir", "column", "hops"]
-    found = cube.join(requests.select(*keys).distinct(), keys, "left_semi")
+    """Lineage of each request (profile, root_urn, dir, column, hops) from ``cube.asked_distances``
+    or a stored cube, with an optional name filter and cap."""
     if name_filter is not None:
         found = found.filter(F.contains(F.lower("urn"), F.lit(name_filter.lower())))
+    rows = cube.answers(requests, found)
     if limit is not None:
-        found = found.withColumn(
+        keys = [c for c in rows.columns if c != "urn"]
+        rows = rows.withColumn(
             "_rank", F.row_number().over(W.partitionBy(*keys).orderBy("urn"))
         ).filter(F.col("_rank") <= limit).drop("_rank")
-    return found
+    return rows
 
 
-def keyed_closure(requests: DataFrame, cube: DataFrame) -> DataFrame:
+def keyed_closure(requests: DataFrame, found: DataFrame) -> DataFrame:
     """Size and extremes of each requested closure; a missing key answers with nothing, not an error."""
     keys = ["profile", "root_urn", "dir", "column", "hops"]
-    sizes = cube.groupBy(*keys).agg(
+    sizes = cube.answers(requests, found).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("urn").alias("first_urn"), F.max("urn").alias("last_urn")
     )
     return requests.select(*keys).distinct().join(sizes, keys, "left").withColumn(

@@ -139,10 +139,10 @@ def test_skewed_join_is_whole(spark):
 def test_search_and_lineage_caps(spark):
     entities = spark.createDataFrame([(f"u{i:02d}",) for i in range(30)], "urn string")
     assert [r["urn"] for r in search.search(entities, ["U"], 3).orderBy("rank").collect()] == ["u00", "u01", "u02"]
-    cube = entities.selectExpr("'p' profile", "'r' root_urn", "'down' dir", "'*' AS column", "1 hops", "urn")
-    asked = cube.drop("urn").distinct()
-    assert search.lineage(cube, asked).count() == 30
-    assert search.lineage(cube, asked, limit=5).count() == 5
+    cube = entities.selectExpr("'p' profile", "'r' root_urn", "'down' dir", "'*' AS column", "urn", "1 d")
+    asked = cube.drop("urn", "d").distinct().selectExpr("*", "1 AS hops")
+    assert search.lineage(asked, cube).count() == 30
+    assert search.lineage(asked, cube, limit=5).count() == 5
 
 
 def test_plain_answers_are_harvested_whole(spark):
