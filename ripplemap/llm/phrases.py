@@ -45,6 +45,7 @@ FILTER_BITS = 1 << 26
 HOT_SHARE = 2000
 BUNDLES = 4
 WORDS_A_BUCKET = 16
+MERGE_ROWS = 1_000_000
 BLOCK_BYTES = 20 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: blank, 2: break
@@ -298,9 +299,16 @@ def _stripes(
 
 
 def merged_stripes(
-    texts: DataFrame, n: int, shorter: Filter, own: Filter | None, hot: set[int], block_bytes: int
+    texts: DataFrame,
+    n: int,
+    least: int,
+    shorter: Filter,
+    own: Filter | None,
+    hot: set[int],
+    block_bytes: int,
 ) -> DataFrame:
-    """``lang``, ``phrase`` (of ``n`` words) and ``count``: the entries of all merged stripes."""
+    """``lang``, ``phrase`` (of ``n`` words) and ``count``: entries of all merged stripes with at
+    least so many."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((shorter, own, hot))
     buckets = BUNDLES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -313,13 +321,57 @@ def merged_stripes(
 
     stripe = "struct<prefix: string, following: array<string>, counts: array<long>>"
     bundles = texts.mapInArrow(run, f"lang string, bucket int, stripes array<{stripe}>")
-    entries = (
-        bundles.repartition("bucket")
-        .select("lang", "bucket", F.inline("stripes"))
-        .select("lang", "bucket", "prefix", F.inline(F.arrays_zip("following", "counts")))
-    )  # the aggregation needs no exchange of its own
-    total = entries.groupBy("bucket", "lang", "prefix", "following").agg(F.sum("counts").alias("count"))
-    return total.select("lang", F.concat_ws(" ", "prefix", "following").alias("phrase"), "count")
+    dealt = bundles.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda b: _merged(b, least), "lang string, phrase string, count long")
+
+
+def _entries(bundles: pa.RecordBatch) -> pa.Table:
+    """The entries of some bundles, as columns."""
+
+    def places(lists) -> pa.Array:
+        return pa.array(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
+
+    lists = bundles.column("stripes")
+    stripes = lists.flatten()
+    following, of_stripe = stripes.field("following"), places(stripes.field("following"))
+    columns = [
+        bundles.column("lang").take(places(lists)).take(of_stripe),
+        stripes.field("prefix").take(of_stripe),
+        following.flatten(),
+        stripes.field("counts").flatten(),
+    ]
+    return pa.table(columns, names=["lang", "prefix", "following", "count"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Add stripes up elementwise, a bucket at a time, in sorted input."""
+    key = ["lang", "prefix", "following"]
+    bucket, held, rows = None, [], 0
+
+    def added() -> pa.Table:
+        total = pa.concat_tables(held).group_by(key).aggregate([("count", "sum")])
+        return total.rename_columns({"count_sum": "count"})
+
+    def done() -> list[pa.RecordBatch]:
+        total = added()
+        total = total.filter(pc.greater_equal(total["count"], least))
+        phrase = pc.binary_join_element_wise(total["prefix"], total["following"], " ")
+        return pa.table([total["lang"], phrase, total["count"]], ["lang", "phrase", "count"]).to_batches()
+
+    for batch in batches:
+        own = batch.column("bucket").to_numpy()
+        for start, stop in zip(*(np.flatnonzero(np.diff(own, prepend=-1, append=-1))[k:] for k in (0, 1))):
+            if bucket is not None and own[start] != bucket:
+                yield from done()
+                held, rows = [], 0
+            bucket = own[start]
+            held.append(_entries(batch.slice(start, stop - start)))
+            rows += len(held[-1])
+            if rows > MERGE_ROWS:
+                held = [added()]
+                rows = len(held[0])
+    if held:
+        yield from done()
 
 
 def _hot(phrases: DataFrame, all_words: int) -> set[int]:
@@ -357,8 +409,8 @@ def frequent_phrases(
         shorter, pairs, hot = Filter.of(levels[-1], filter_bits), None, _hot(levels[-1], all_words)
         if len(levels) == 1:
             pairs = pair_filter(own, shorter, least, all_words, filter_bits, block_bytes)
-        found = merged_stripes(own, len(levels) + 1, shorter, pairs, hot, block_bytes)
-        levels.append(stored(found.where(F.col("count") >= least), f"phrases_{len(levels) + 1}"))
+        found = merged_stripes(own, len(levels) + 1, least, shorter, pairs, hot, block_bytes)
+        levels.append(stored(found, f"phrases_{len(levels) + 1}"))
     out = levels[0].withColumn("words", F.lit(1))
     for k, level in enumerate(levels[1:], 2):
         out = out.unionByName(level.withColumn("words", F.lit(k)))
