@@ -1,5 +1,7 @@
 """Sources and sinks, catalog construction, catalog queries and annotations."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ripplemap.functions.constants import MAX_HOPS, URN_PREFIX
 from ripplemap.functions.typing import type_family
 from ripplemap.functions.urn import dataset_urn, field_urn, registry_urn, urn_name, urn_platform
 from ripplemap.marts.segments import customer_segments
-from ripplemap.operators import annotate, catalog, cube, decisions, expand, search
+from ripplemap.operators import annotate, catalog, cube, decisions, expand, paths, postings, search
 from ripplemap.plans.session import scratch, stored
 from ripplemap.sources import readers, sinks
 
@@ -438,6 +440,39 @@ def _(d: Driver) -> DataFrame:
     return search.search(d.entities(), _TERMS)
 
 
+@query(
+    "q1_search_table",
+    """SELECT DISTINCT q.query, e.urn FROM fx_entities e JOIN (
+  SELECT 'Acct-' || c_custkey || ',' AS query FROM customer UNION ALL SELECT 'NATION-' || n_nationkey FROM nation
+  UNION ALL SELECT lower(p_brand) FROM part UNION ALL SELECT '-' || n_nationkey FROM nation WHERE n_nationkey < 3
+) q ON contains(lower(e.urn), lower(q.query))""",
+)
+def _(d: Driver) -> DataFrame:
+    """Queries from tables; thousands of them, of which some match much and some nothing."""
+    nation = F.col("n_nationkey").cast("string")
+    terms = [
+        d.table("customer").select(F.concat(_name("Acct-", F.col("c_custkey")), F.lit(",")).alias("query")),
+        d.table("nation").select(F.concat(F.lit("NATION-"), nation).alias("query")),
+        d.table("part").select(F.lower("p_brand").alias("query")),
+        d.table("nation").where("n_nationkey < 3").select(F.concat(F.lit("-"), nation).alias("query")),
+    ]
+    return postings.contains_any(d.entities(), "urn", "urn", reduce(DataFrame.unionByName, terms))
+
+
+@query(
+    "q1_first_hits",
+    """SELECT query, urn, rank::INTEGER AS rank FROM (
+  SELECT q.query, e.urn, row_number() OVER (PARTITION BY q.query ORDER BY e.urn) AS rank FROM fx_entities e
+  JOIN (SELECT DISTINCT 'ORDER-' || user_id AS query FROM events) q ON contains(lower(e.urn), lower(q.query))
+  WHERE e.platform = 'orders') WHERE rank <= 10""",
+)
+def _(d: Driver) -> DataFrame:
+    """The first ten orders for each user's query."""
+    terms = d.table("events").select(_name("ORDER-", F.col("user_id")).alias("query"))
+    orders = d.entities().where("platform = 'orders'")
+    return postings.first_hits(postings.contains_any(orders, "urn", "urn", terms), "urn", 10)
+
+
 @query(
     "q2_entity_lookup",
     """SELECT urn, platform, name FROM fx_entities WHERE urn IN (
@@ -493,10 +528,39 @@ def _(d: Driver) -> DataFrame:
         dataset_urn(F.lit("nation"), _name("nation-", F.col("s_nationkey"))).alias("source"),
         dataset_urn(F.lit("lineitem"), line_name(F.col("l_orderkey"), F.col("l_linenumber"))).alias("target"),
     )
-    found = search.paths_between(pairs, stored(d.edges(), "path_edges"), MAX_HOPS)
+    found = paths.paths_between(pairs, d.edges(), MAX_HOPS, stored)
     return found.select("source", "target", F.array_join("path", " > ").alias("path"))
 
 
+@query(
+    "q4_column_paths",
+    """SELECT * FROM (WITH RECURSIVE e AS (SELECT DISTINCT up_urn, down_urn FROM fx_pcolumn_edges WHERE profile = 'covered'),
+w(source, node, path) AS (
+  SELECT up_urn, down_urn, up_urn || '.key > ' || down_urn || '.key' FROM e WHERE contains(up_urn, 'Platform:region,')
+  UNION ALL SELECT source, e.down_urn, path || ' > ' || e.down_urn || '.key' FROM w JOIN e ON e.up_urn = w.node)
+SELECT source, node AS target, path FROM w WHERE contains(node, 'Platform:orders,')
+  AND node IN (SELECT 'urn:li:dataset:(urn:li:dataPlatform:orders,order-' || event_id || ',PROD)' FROM events))""",
+)
+def _(d: Driver) -> DataFrame:
+    """From each region's key to the keys of its orders with an event, over any number of hops."""
+    bought = d.table("events").join(d.table("orders"), F.col("event_id") == F.col("o_orderkey"))
+    placed = bought.join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        d.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    pairs = placed.select(
+        dataset_urn(F.lit("region"), _name("region-", F.col("n_regionkey"))).alias("source"),
+        F.lit("key").alias("source_column"),
+        dataset_urn(F.lit("orders"), _name("order-", F.col("event_id"))).alias("target"),
+        F.lit("key").alias("target_column"),
+    )
+    links = d.profile_column_edges.where("profile = 'covered'")
+    found = paths.column_paths_between(pairs, links, None, stored)
+    places = F.transform("path", lambda p: F.concat(p["urn"], F.lit("."), p["column"]))
+    return found.select("source.urn", "target.urn", F.array_join(places, " > ").alias("path")).toDF(
+        "source", "target", "path"
+    )
+
+
 @query(
     "q6_query_history",
     "SELECT urn, count(*) AS queries, max(ts) AS last_ts FROM fx_query_log WHERE \"column\" = 'key' GROUP BY urn",
@@ -528,6 +592,17 @@ def _(d: Driver) -> DataFrame:
     return search.search_documents(d.table("documents"), "the")
 
 
+@query(
+    "q8_document_table",
+    """SELECT q.query, d.doc_id FROM documents d JOIN (SELECT DISTINCT substr(text, 1, 24) AS query FROM benchmark) q
+  ON contains(d.text, q.query)""",
+)
+def _(d: Driver) -> DataFrame:
+    """Documents that hold the opening words of a benchmark item, letter by letter."""
+    openings = d.table("benchmark").select(F.substring("text", 1, 24).alias("query"))
+    return postings.contains_any(d.table("documents"), "doc_id", "text", openings, fold=False)
+
+
 @query(
     "q9_keyed_closure",
     f"""SELECT r.*, coalesce(c.n, 0) AS n, c.first_urn, c.last_urn FROM (

@@ -1,4 +1,4 @@
-"""Read surface of the catalog: search, lookups, paths, schema fields, query log, documents."""
+"""Read surface of the catalog: search, lookups, schema fields, query log, documents."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,54 +66,6 @@ def keyed_closure(requests: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def paths_between(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """All simple paths from source to target of at most ``max_hops`` edges.
-
-    The walk starts at the targets and goes upstream, where lineage fans in little. Every step
-    carries its path, and a node already on the path is not entered again. The last step is made
-    towards the source only. ``edges`` are read at every step: pass a stored table.
-    """
-    back = edges.select(F.col("down_urn").alias("at"), F.col("up_urn").alias("prev")).distinct()
-    walk = pairs.select(
-        "source", "target", F.col("target").alias("at"), F.array("target").alias("path")
-    ).distinct()
-    found = None
-    for hop in range(1, max_hops + 1):
-        open_ends = walk.filter(F.col("at") != F.col("source"))
-        if hop == max_hops:
-            last = back.withColumnRenamed("prev", "source")
-            onwards = open_ends.join(last, ["at", "source"]).withColumn("prev", F.col("source"))
-        else:
-            onwards = open_ends.join(back, "at")
-        step = (
-            onwards.filter(~F.array_contains("path", F.col("prev")))
-            .select("source", "target", F.col("prev").alias("at"),
-                    F.concat(F.array("prev"), F.col("path")).alias("path"))
-        )
-        hit = step.filter(F.col("at") == F.col("source")).select("source", "target", "path")
-        found = hit if found is None else found.unionByName(hit)
-        walk = step
-    return found
-
-
-def column_paths_between(pairs: DataFrame, column_edges: DataFrame, max_hops: int) -> DataFrame:
-    """The same between columns: pairs carry ``source_column`` and ``target_column``.
-
-    A place on a path is a struct of ``urn`` and ``column``.
-    """
-
-    def place(urn: str, column: str) -> Column:
-        return F.struct(F.col(urn).alias("urn"), F.col(column).alias("column"))
-
-    ends = pairs.select(
-        place("source", "source_column").alias("source"), place("target", "target_column").alias("target")
-    )
-    edges = column_edges.select(
-        place("up_urn", "up_col").alias("up_urn"), place("down_urn", "down_col").alias("down_urn")
-    )
-    return paths_between(ends, edges, max_hops)
-
-
 def schema_fields(rows: DataFrame, keywords: list[str]) -> DataFrame:
     wanted = F.array(*[F.lit(k.lower()) for k in keywords])
     return rows.filter(F.exists(wanted, lambda k: F.contains(F.lower("column"), k)))

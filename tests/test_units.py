@@ -160,19 +160,6 @@ def test_search_filter_and_order(spark):
     assert [(r["urn"], r["rank"]) for r in best] == [("u2", 1)]
 
 
-def test_column_paths(spark):
-    edges = spark.createDataFrame(
-        [("a", "x", "b", "y"), ("b", "y", "c", "z"), ("b", "other", "c", "z")],
-        "up_urn string, up_col string, down_urn string, down_col string",
-    )
-    pairs = spark.createDataFrame(
-        [("a", "x", "c", "z")], "source string, source_column string, target string, target_column string"
-    )
-    rows = search.column_paths_between(pairs, edges, 2).collect()
-    assert [[(p["urn"], p["column"]) for p in r["path"]] for r in rows] == [[("a", "x"), ("b", "y"), ("c", "z")]]
-    assert search.column_paths_between(pairs, edges, 1).count() == 0
-
-
 def test_repeated_overrides_keep_one_row(spark):
     reviewed = spark.createDataFrame([(1, False), (2, False)], "change_id int, gate_passed boolean")
     reasons = spark.createDataFrame([(1, "b"), (1, "a"), (2, ""), (2, None)], "change_id int, reason string")
