@@ -352,15 +352,13 @@ CTES["fx_sources"] = """
 SELECT 'order-' || o_orderkey AS name, 'models/' || o_orderpriority || '/order-' || o_orderkey || '.sql' AS path,
   'select key, key_hash from acct_' || o_custkey || ' where key > 0' AS sql_text FROM orders
 """
-# (^|non-word)old(non-word|$) twice: neighbours share the separator the first pass consumes.
 _SEP = "[^\\p{L}\\p{N}_]"
 
 
 def replace_words_sql(text: str, old: str, new: str) -> str:
-    """RE2 has no look-around: the separators are matched and put back, in two passes."""
-    pattern = f"'(^|{_SEP})' || {old} || '({_SEP}|$)'"
-    once = f"regexp_replace({text}, {pattern}, '\\1' || {new} || '\\2', 'g')"
-    return f"regexp_replace({once}, {pattern}, '\\1' || {new} || '\\2', 'g')"
+    """Words and what lies between them, by one constant pattern; each equal word is replaced."""
+    parts = f"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+|{_SEP}+')"
+    return f"array_to_string(list_transform({parts}, lambda x: CASE WHEN x = {old} THEN {new} ELSE x END), '')"
 
 
 def replace_first_sql(text: str, old: str, new: str) -> str:
