@@ -10,6 +10,19 @@ from ripplemap.functions.typing import type_family
 from ripplemap.functions.urn import dataset_urn, registry_urn
 
 
+MOST_PROFILES = 62
+
+
+def profile_mask(profiles: list[str]) -> Column:
+    """The bit of the row's ``profile``; null for profiles that are not among them."""
+    if len(profiles) > MOST_PROFILES:
+        raise ValueError(f"at most {MOST_PROFILES} profiles fit into one walk")
+    bit = F.when(F.lit(False), F.lit(0).cast("long"))
+    for place, name in enumerate(profiles):
+        bit = bit.when(F.col("profile") == name, F.lit(1 << place).cast("long"))
+    return bit
+
+
 def with_urn(entities: DataFrame) -> DataFrame:
     """(platform, name, …) plus its dataset URN."""
     return entities.withColumn("urn", dataset_urn(F.col("platform"), F.col("name")))

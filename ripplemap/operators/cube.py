@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions.constants import MAX_HOPS
 from ripplemap.functions.urn import compact, expanded
+from ripplemap.operators.catalog import profile_mask
 from ripplemap.operators.skew import ROWS_PER_SHARD, hot_keys, repeat_rows, shard_key, split_rows
 
 Keep = Callable[[DataFrame, str], DataFrame]
 ANY = "*"
-MOST_PROFILES = 62
 REQUEST = ["profile", "root_urn", "dir", "column"]
 
 
@@ -31,20 +31,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _mask(profiles: list[str]) -> Column:
-    """The bit of the row's profile; rows of other profiles have none."""
-    if len(profiles) > MOST_PROFILES:
-        raise ValueError(f"at most {MOST_PROFILES} profiles fit into one walk")
-    bit = F.when(F.lit(False), F.lit(0).cast("long"))
-    for place, name in enumerate(profiles):
-        bit = bit.when(F.col("profile") == name, F.lit(1 << place).cast("long"))
-    return bit
-
-
 def mask_links(edges: DataFrame, profiles: list[str]) -> DataFrame:
     """Each edge once: (src, dst, mask) on compact keys."""
     rows = edges.select(
-        compact(F.col("up_urn")).alias("src"), compact(F.col("down_urn")).alias("dst"), _mask(profiles).alias("mask")
+        compact(F.col("up_urn")).alias("src"), compact(F.col("down_urn")).alias("dst"), profile_mask(profiles).alias("mask")
     )
     return rows.where("mask IS NOT NULL").groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
 
@@ -54,7 +44,7 @@ def mask_column_links(column_edges: DataFrame, profiles: list[str]) -> DataFrame
     rows = column_edges.select(
         compact(F.col("up_urn")).alias("src"), F.col("up_col").alias("src_col"),
         compact(F.col("down_urn")).alias("dst"), F.col("down_col").alias("dst_col"),
-        _mask(profiles).alias("mask"),
+        profile_mask(profiles).alias("mask"),
     )
     keys = ["src", "src_col", "dst", "dst_col"]
     return rows.where("mask IS NOT NULL").groupBy(*keys).agg(F.bit_or("mask").alias("mask"))

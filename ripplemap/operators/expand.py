@@ -1,10 +1,11 @@
 """Bounded graph expansion of many roots at once.
 
-One walk serves both directions and all profiles: edges are laid out as links (lane, source,
-destination), a lane being one profile and direction, and each hop is one equi-join of the frontier
-with the links. The frontier is made distinct before every join. Inside the walk entities go by
-their compact keys. First-discovery hop and the evidence of the discovering edge travel as one integer,
-``code = hop * 4 + rank``, so a plain ``min`` keeps the earliest and strongest.
+One walk serves both directions and all profiles: an edge is one link (way, source, destination) with
+the profiles that see it as bits of a mask, frontiers carry masks too, and each hop is one equi-join
+of the frontier with the links. A hop is reduced to one row for each scope and node before it is
+stored, and only what is new to some profile travels on. Inside the walk entities go by their compact
+keys. First-discovery hop and the evidence of the discovering edge are one integer, ``code = hop * 4 +
+rank``, so a plain ``min`` keeps the earliest and strongest.
 
 With a column, hop 1 comes from the column edges only and hops 2-3 are table-level closures from
 the root, so a table-level neighbour outside the column edges counts as hop 2.
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions.constants import MAX_HOPS, PROVENANCES
 from ripplemap.functions.urn import compact, expanded, urn_name
+from ripplemap.operators.catalog import profile_mask
 from ripplemap.operators.skew import ROWS_PER_SHARD, hot_keys, repeat_rows, shard_key, split_rows
 
 Keep = Callable[[DataFrame, str], DataFrame]
-_KEY = ["lane", "src"]
+_KEY = ["way", "src"]
+_AT = ["way", "scope_id", "at"]
+_RANKS = range(3)
 _SCOPE = ["profile", "scope_id"]
 
 
@@ -29,47 +33,35 @@ def _rank(provenance: Column) -> Column:
     return rank.otherwise(2)
 
 
-def _lane(profile: Column, down: int, profiles: list[str]) -> Column:
-    """Profile and direction as one small integer: even lanes go down, odd ones up."""
-    lane = F.when(profile == profiles[0], 0 if down else 1)
-    for place, name in enumerate(profiles[1:], start=1):
-        lane = lane.when(profile == name, 2 * place + (0 if down else 1))
-    return lane
-
-
-def _profile_of(place: Column, profiles: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in profiles]), place + 1)
-
-
-def _place(lane: Column) -> Column:
-    return F.shiftright(lane, 1)
-
-
 def _unkept(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
 def _links(edges: DataFrame, profiles: list[str]) -> DataFrame:
-    """Each edge once per direction: (lane, src, dst, rank) on compact keys."""
-    up, down = compact(F.col("up_urn")), compact(F.col("down_urn"))
-    profile, rank = F.col("profile"), _rank(F.col("provenance")).alias("rank")
-    forth = edges.select(_lane(profile, True, profiles).alias("lane"), up.alias("src"), down.alias("dst"), rank)
-    back = edges.select(_lane(profile, False, profiles).alias("lane"), down.alias("src"), up.alias("dst"), rank)
-    return forth.unionByName(back)
+    """Each edge once for each way: (way, src, dst, rank, mask) on compact keys; way 0 goes down."""
+    up, down = compact(F.col("up_urn")).alias("src"), compact(F.col("down_urn")).alias("dst")
+    rows = edges.select(up, down, _rank(F.col("provenance")).alias("rank"), profile_mask(profiles).alias("mask"))
+    once = rows.where("mask IS NOT NULL").groupBy("src", "dst", "rank").agg(F.bit_or("mask").alias("mask"))
+    ends = [
+        F.struct(F.lit(way).alias("way"), F.col(a).alias("src"), F.col(b).alias("dst"))
+        for way, (a, b) in enumerate((("src", "dst"), ("dst", "src")))
+    ]
+    return once.select(F.inline(F.array(*ends)), "rank", "mask")
 
 
 def _column_links(column_edges: DataFrame, profiles: list[str]) -> DataFrame:
-    up, down = compact(F.col("up_urn")), compact(F.col("down_urn"))
-    profile, rank = F.col("profile"), _rank(F.col("provenance")).alias("rank")
-    forth = column_edges.select(
-        _lane(profile, True, profiles).alias("lane"), up.alias("src"), F.col("up_col").alias("src_col"),
-        down.alias("dst"), F.col("down_col").alias("dst_col"), rank,
-    )
-    back = column_edges.select(
-        _lane(profile, False, profiles).alias("lane"), down.alias("src"), F.col("down_col").alias("src_col"),
-        up.alias("dst"), F.col("up_col").alias("dst_col"), rank,
-    )
-    return forth.unionByName(back)
+    names = {"src": compact(F.col("up_urn")), "src_col": F.col("up_col")}
+    names |= {"dst": compact(F.col("down_urn")), "dst_col": F.col("down_col")}
+    rows = column_edges.select(
+        *(c.alias(n) for n, c in names.items()), _rank(F.col("provenance")).alias("rank"),
+        profile_mask(profiles).alias("mask"),
+    ).where("mask IS NOT NULL")
+    once = rows.groupBy(*names, "rank").agg(F.bit_or("mask").alias("mask"))
+    ends = [
+        F.struct(F.lit(way).alias("way"), *(F.col(f"{a}{c}").alias(f"{n}{c}") for n, a in pair for c in ("", "_col")))
+        for way, pair in enumerate(((("src", "src"), ("dst", "dst")), (("src", "dst"), ("dst", "src"))))
+    ]
+    return once.select(F.inline(F.array(*ends)), "rank", "mask")
 
 
 def link_hubs(
@@ -80,8 +72,21 @@ def link_hubs(
     return hot_keys(counts, _KEY, "n", rows_per_shard)
 
 
-def _all_lanes(profiles: list[str]) -> Column:
-    return F.explode(F.array(*[F.lit(i) for i in range(2 * len(profiles))]))
+def _by_rank(rows: DataFrame, keys: list[str], old: DataFrame) -> DataFrame:
+    """One row for each of ``keys``: the mask of each rank, and what ``old`` (keys, mask) has of it."""
+    none = F.lit(0).cast("long")
+    marked = rows.select(
+        *keys, *(F.when(F.col("rank") == r, F.col("mask")).otherwise(none).alias(f"m{r}") for r in _RANKS),
+        none.alias("old"),
+    )
+    marked = marked.unionByName(
+        old.select(*keys, *(none.alias(f"m{r}") for r in _RANKS), F.col("mask").alias("old"))
+    )
+    return marked.groupBy(*keys).agg(*(F.bit_or(c).alias(c) for c in [*(f"m{r}" for r in _RANKS), "old"]))
+
+
+def _any_rank() -> Column:
+    return F.col("m0").bitwiseOR(F.col("m1")).bitwiseOR(F.col("m2"))
 
 
 def closure(
@@ -100,58 +105,75 @@ def closure(
     ``keep(df, name)`` may write each hop to a table, so that later hops read it instead of
     computing it again.
     """
+    everyone = F.lit((1 << len(profiles)) - 1).cast("long")
     sharded = split_rows(keep(_links(edges, profiles), "links"), hubs, _KEY, "dst")
     starts = scopes.select(
-        "scope_id", compact(F.col("root_urn")).alias("src"), "column", _all_lanes(profiles).alias("lane")
-    )
+        "scope_id", compact(F.col("root_urn")).alias("src"), "column",
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("way"),
+    )
     scoped = starts.filter(F.col("column") != "")
     first = (
         scoped.withColumnRenamed("column", "src_col")
         .join(_column_links(column_edges, profiles), _KEY + ["src_col"])
-        .select("lane", "scope_id", "dst", "rank")
+        .select("way", "scope_id", F.col("dst").alias("at"), "rank", "mask")
     )
-    first = keep(first, "column_hop")
-    # A scoped start whose column reaches nothing stops there.
-    alive = starts.filter(F.col("column") == "").unionByName(
-        scoped.join(first.select("lane", "scope_id").distinct(), ["lane", "scope_id"], "left_semi")
+    nothing = starts.select("way", "scope_id", F.col("src").alias("at"), everyone.alias("mask")).limit(0)
+    first = keep(_by_rank(first, _AT, nothing).drop("old"), "column_hop")
+    # A scoped start whose column reaches nothing in a profile stops there.
+    grown = first.groupBy("way", "scope_id").agg(F.bit_or(_any_rank()).alias("mask"))
+    alive = starts.filter(F.col("column") == "").withColumn("mask", everyone)
+    alive = alive.select(*_KEY, "scope_id", F.lit(1).alias("least"), "mask").unionByName(
+        scoped.join(grown, ["way", "scope_id"]).select(*_KEY, "scope_id", F.lit(2).alias("least"), "mask")
     )
 
-    found = [
-        starts.select("lane", "scope_id", F.col("src").alias("at"), F.lit(0).alias("code")),
-        first.select("lane", "scope_id", F.col("dst").alias("at"), (F.lit(4) + F.col("rank")).alias("code")),
-    ]
-    frontier = alive.select(
-        *_KEY, "scope_id", F.when(F.col("column") == "", 1).otherwise(2).alias("least")
-    )
+    keys = [*_AT, "least"]
+    frontier = keep(alive, "starts")
+    seen = frontier.withColumnRenamed("src", "at").select(*keys, "mask")
+    found = [first.withColumn("hop", F.lit(1))]
     for hop in range(1, max_hops + 1):
         step = (
-            repeat_rows(frontier, hubs, _KEY)
+            repeat_rows(frontier.withColumnRenamed("mask", "own"), hubs, _KEY)
             .join(sharded, _KEY + shard_key(hubs))
-            .select("lane", "scope_id", "least", "dst", "rank")
-        )
-        step = keep(step, f"hop_{hop}")
+            .select("way", "scope_id", "least", F.col("dst").alias("at"), "rank",
+                    F.col("own").bitwiseAND(F.col("mask")).alias("mask"))
+            .where("mask <> 0")
+        )
+        told = _by_rank(step, keys, seen)
+        fresh = _any_rank().bitwiseAND(F.bitwise_not("old"))
+        # Walks of one and of two steps count alike where hop 1 belongs to the columns.
+        again = (F.col("least") == 2) & (_any_rank() != 0) if hop == 2 else F.lit(False)
+        level = keep(told.where((fresh != 0) | again).withColumn("fresh", fresh).drop("old"), f"hop_{hop}")
         reached = F.greatest(F.lit(hop), F.col("least"))
-        kept = step.filter(reached <= max_hops)
-        found.append(
-            kept.select("lane", "scope_id", F.col("dst").alias("at"), (reached * 4 + F.col("rank")).alias("code"))
-        )
-        frontier = step.select("lane", F.col("dst").alias("src"), "scope_id", "least").distinct()
-
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    is_down = F.col("lane").bitwiseAND(1) == 0
+        found.append(level.select(*_AT, "m0", "m1", "m2", reached.alias("hop")).where(F.col("hop") <= max_hops))
+        new = level.where("fresh <> 0").withColumnRenamed("fresh", "mask")
+        frontier = new.select("way", F.col("at").alias("src"), "scope_id", "least", "mask")
+        seen = seen.unionByName(new.select(*keys, "mask"))
+
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    roots = starts.select("way", "scope_id", F.col("src").alias("at"), everyone.alias("m0"),
+                          none.alias("m1"), none.alias("m2"), zero.alias("hop"))
+    every = roots
+    for part in found:
+        every = every.unionByName(part.select(*roots.columns))
+    codes, rows = [], []
+    for place, profile in enumerate(profiles):
+        bit = F.lit(1 << place).cast("long")
+        code = F.when(F.lit(False), 0)
+        for r in _RANKS:
+            code = code.when(F.col(f"m{r}").bitwiseAND(bit) != 0, F.col("hop") * 4 + r)
+        for way, name in enumerate(("down", "up")):
+            codes.append(F.min(F.when(F.col("way") == way, code)).alias(f"{name}_{place}"))
+        row = F.struct(
+            F.lit(profile).alias("profile"), F.col(f"down_{place}").alias("down_code"),
+            F.col(f"up_{place}").alias("up_code"),
+        )
+        rows.append(F.when(F.col(f"down_{place}").isNotNull() | F.col(f"up_{place}").isNotNull(), row))
     return (
-        every.groupBy(_place(F.col("lane")).alias("place"), "scope_id", "at")
-        .agg(
-            F.min(F.when(is_down, F.col("code"))).alias("down_code"),
-            F.min(F.when(~is_down, F.col("code"))).alias("up_code"),
-        )
-        .select(
-            _profile_of(F.col("place"), profiles).alias("profile"), "scope_id",
-            expanded(F.col("at")).alias("urn"), "down_code", "up_code",
-        )
-    )
+        every.groupBy("scope_id", "at")
+        .agg(*codes)
+        .select("scope_id", "at", F.inline(F.array_compact(F.array(*rows))))
+        .select("profile", "scope_id", expanded(F.col("at")).alias("urn"), "down_code", "up_code")
+    )
 
 
 def hop_limits(candidates: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
