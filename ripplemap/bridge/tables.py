@@ -144,10 +144,6 @@ class Driver:
             "down_platform", "provenance",
         )
 
-    @cached_property
-    def hubs(self) -> DataFrame | None:
-        return if_any(expand.link_hubs(self.profile_edges, list(PROFILES)))
-
     @cached_property
     def down_hubs(self) -> DataFrame | None:
         links = cube.mask_links(self.profile_edges, list(PROFILES))

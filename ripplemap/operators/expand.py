@@ -37,7 +37,7 @@ def _unkept(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def _links(edges: DataFrame, profiles: list[str]) -> DataFrame:
+def links_of(edges: DataFrame, profiles: list[str]) -> DataFrame:
     """Each edge once for each way: (way, src, dst, rank, mask) on compact keys; way 0 goes down."""
     up, down = compact(F.col("up_urn")).alias("src"), compact(F.col("down_urn")).alias("dst")
     rows = edges.select(up, down, _rank(F.col("provenance")).alias("rank"), profile_mask(profiles).alias("mask"))
@@ -50,25 +50,21 @@ def _links(edges: DataFrame, profiles: list[str]) -> DataFrame:
 
 
 def _column_links(column_edges: DataFrame, profiles: list[str]) -> DataFrame:
-    names = {"src": compact(F.col("up_urn")), "src_col": F.col("up_col")}
-    names |= {"dst": compact(F.col("down_urn")), "dst_col": F.col("down_col")}
-    rows = column_edges.select(
-        *(c.alias(n) for n, c in names.items()), _rank(F.col("provenance")).alias("rank"),
-        profile_mask(profiles).alias("mask"),
-    ).where("mask IS NOT NULL")
-    once = rows.groupBy(*names, "rank").agg(F.bit_or("mask").alias("mask"))
+    up = F.struct(compact(F.col("up_urn")).alias("n"), F.col("up_col").alias("c"))
+    down = F.struct(compact(F.col("down_urn")).alias("n"), F.col("down_col").alias("c"))
     ends = [
-        F.struct(F.lit(way).alias("way"), *(F.col(f"{a}{c}").alias(f"{n}{c}") for n, a in pair for c in ("", "_col")))
-        for way, pair in enumerate(((("src", "src"), ("dst", "dst")), (("src", "dst"), ("dst", "src"))))
+        F.struct(F.lit(way).alias("way"), a["n"].alias("src"), a["c"].alias("src_col"), b["n"].alias("dst"))
+        for way, (a, b) in enumerate(((up, down), (down, up)))
     ]
-    return once.select(F.inline(F.array(*ends)), "rank", "mask")
+    rows = column_edges.select(
+        F.inline(F.array(*ends)), _rank(F.col("provenance")).alias("rank"), profile_mask(profiles).alias("mask")
+    )
+    return rows.where("mask IS NOT NULL")
 
 
-def link_hubs(
-    edges: DataFrame, profiles: list[str], rows_per_shard: int = ROWS_PER_SHARD
-) -> DataFrame:
+def link_hubs(links: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Nodes with more links in one direction than a task should hold."""
-    counts = _links(edges, profiles).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    counts = links.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
     return hot_keys(counts, _KEY, "n", rows_per_shard)
 
 
@@ -91,7 +87,7 @@ def _any_rank() -> Column:
 
 def closure(
     scopes: DataFrame,
-    edges: DataFrame,
+    links: DataFrame,
     column_edges: DataFrame,
     profiles: list[str],
     max_hops: int = MAX_HOPS,
@@ -100,13 +96,13 @@ def closure(
 ) -> DataFrame:
     """Candidates (profile, scope_id, urn, down_code, up_code) within ``max_hops``; root has code 0.
 
-    ``edges`` and ``column_edges`` carry a ``profile`` column. Nodes with very many links (``hubs``)
+    ``links`` come from ``links_of``, which a caller stores; ``column_edges`` carry a ``profile``. Nodes with very many links (``hubs``)
     are split over shards so that one hub cannot fill a task; None says that there are none.
     ``keep(df, name)`` may write each hop to a table, so that later hops read it instead of
     computing it again.
     """
     everyone = F.lit((1 << len(profiles)) - 1).cast("long")
-    sharded = split_rows(keep(_links(edges, profiles), "links"), hubs, _KEY, "dst")
+    sharded = split_rows(links, hubs, _KEY, "dst")
     starts = scopes.select(
         "scope_id", compact(F.col("root_urn")).alias("src"), "column",
         F.explode(F.array(F.lit(0), F.lit(1))).alias("way"),

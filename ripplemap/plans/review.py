@@ -65,7 +65,7 @@ class Review:
             judge_column, true_provenance, self.rows_per_shard, self.max_hops,
         )
         self.subgraph  # noqa: B018 - make sure the expansion is stored before it is shared
-        for name in ("resolved", "hubs", "subgraph", "closure_rows"):
+        for name in ("resolved", "links", "hubs", "subgraph", "closure_rows"):
             other.__dict__[name] = self.__dict__[name]
         return other
 
@@ -82,16 +82,19 @@ class Review:
     def scopes(self) -> DataFrame:
         return resolve.scopes(self.resolved)
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return stored(expand.links_of(self.catalog.edges, list(self.catalog.profiles)), "links")
+
     @cached_property
     def hubs(self) -> DataFrame | None:
-        edges, n = self.catalog.edges, self.rows_per_shard
-        return if_any(expand.link_hubs(edges, list(self.catalog.profiles), n))
+        return if_any(expand.link_hubs(self.links, self.rows_per_shard))
 
     def closure_of(self, scopes: DataFrame) -> DataFrame:
-        c, profiles = self.catalog, list(self.catalog.profiles)
         found = expand.closure(
-            scopes, c.edges, c.column_edges, profiles, self.max_hops, self.hubs, keep=stored
-        )
+            scopes, self.links, self.catalog.column_edges, list(self.catalog.profiles), self.max_hops,
+            self.hubs, keep=stored,
+        )
         return stored(found, "closure")
 
     def _kept(self, closure: DataFrame) -> DataFrame:

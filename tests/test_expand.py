@@ -4,6 +4,7 @@ import random
 
 from ripplemap.functions.urn import compact, expanded
 from ripplemap.operators import expand
+from ripplemap.plans.session import stored
 from pyspark.sql import functions as F
 
 
@@ -49,8 +50,9 @@ def test_random_graphs(spark):
         "profile string, up_urn string, up_col string, down_urn string, down_col string, provenance string",
     )
     s = spark.createDataFrame(scopes, "scope_id bigint, root_urn string, column string")
-    for hubs in (None, expand.link_hubs(e, ["p"], rows_per_shard=2)):
-        found = expand.closure(s, e, c, ["p"], hubs=hubs)
+    links = stored(expand.links_of(e, ["p"]), "links")
+    for hubs in (None, expand.link_hubs(links, rows_per_shard=2)):
+        found = expand.closure(s, links, c, ["p"], hubs=hubs, keep=stored)
         sub = expand.subgraph(found, expand.trimmed_scopes(found))
         got = {tuple(r) for r in sub.select("scope_id", "urn", "direction", "hop").collect()}
         assert got == want
