@@ -221,6 +221,15 @@ SELECT f.* REPLACE (t.parsed AS parsed_edges, t.inferred AS inferred_edges) FROM
     count(*) FILTER (provenance = 'inferred') AS inferred FROM fx_true_sub GROUP BY ALL) t
 USING (profile, scope_id)
 """
+CTES["fx_induced_orphans"] = f"""
+SELECT s.profile, s.scope_id, s.urn FROM fx_sub s WHERE s.hop > 0 AND {_PLATFORM} NOT IN ('region', 'part')
+  AND NOT EXISTS (SELECT 1 FROM fx_pedges e JOIN fx_sub u ON u.profile = e.profile AND u.urn = e.up_urn
+    WHERE e.profile = s.profile AND e.down_urn = s.urn AND u.scope_id = s.scope_id)
+"""
+CTES["fx_induced_facts"] = """
+SELECT f.* REPLACE (coalesce(o.n, 0) AS orphans) FROM fx_true_facts f LEFT JOIN (
+  SELECT profile, scope_id, count(*) AS n FROM fx_induced_orphans GROUP BY ALL) o USING (profile, scope_id)
+"""
 CTES["fx_reg_summary"] = """
 SELECT profile, coalesce(nullif(sum(expected), 0), 1)::BIGINT AS expected_nodes,
   coalesce(sum(expected) FILTER (NOT connector), 0)::BIGINT AS dark_nodes
@@ -274,6 +283,8 @@ CTES["fx_score"] = _score("fx_facts")
 CTES["fx_true_score"] = _score("fx_true_facts")
 CTES["fx_spots"] = _spots("fx_score")
 CTES["fx_true_spots"] = _spots("fx_true_score")
+CTES["fx_induced_score"] = _score("fx_induced_facts")
+CTES["fx_induced_spots"] = _spots("fx_induced_score")
 CTES["fx_coverage"] = """
 SELECT s.*, coalesce(x.blocking, 0) AS blocking, coalesce(x.n_spots, 0) AS n_spots,
   coalesce(x.texts, []) AS texts, coalesce(x.spot_platforms, []) AS spot_platforms,

@@ -94,6 +94,43 @@ def _(d: Driver) -> DataFrame:
     return decisions.resume(log.filter(dark), log.filter(covered))
 
 
+_RESUMED = """SELECT n.profile, n.change_id, n.overall, false AS is_blocked, 'ripplemap:resolved' AS marker,
+  'Analysis' AS doc_type, regexp_replace(n.title, '^held: ', 'assessed: ') AS title, NULL AS blocked_on,
+  h.profile || '/' || h.change_id AS resumed_from, 'resume-1' AS batch
+FROM fx_decisions h JOIN fx_decisions n ON n.change_id = h.change_id AND n.may_assert_safe
+WHERE h.is_blocked AND h.profile = 'dark' AND n.profile = 'covered'"""
+_REVIEWED = """SELECT profile, change_id, overall, is_blocked, marker, doc_type, title, blocked_on,
+  NULL AS resumed_from, 'review-1' AS batch FROM fx_decisions WHERE profile = 'dark'"""
+
+
+def _resumed_log(d: Driver) -> DataFrame:
+    """The dark profile's decisions, resumed twice after every platform was connected."""
+    rows = d.review().decisions
+    held = decisions.log_rows(rows.filter(F.col("profile") == "dark"))
+    again = rows.filter(F.col("profile") == "covered")
+    log = sinks.DecisionLog(d.spark, scratch(d.spark, "decision_log"), held.schema)
+    log.append(held, "review-1")
+    for batch in ("resume-1", "resume-1", "resume-2"):
+        log.append(decisions.resumed_rows(log.read(), again), batch)
+    return log.read()
+
+
+@query("x6_resume_log", f"{_REVIEWED} UNION ALL {_RESUMED}")
+def _(d: Driver) -> DataFrame:
+    return _resumed_log(d).drop("seq", "recorded_at")
+
+
+@query(
+    "x6_latest_decisions",
+    f"""SELECT decision, is_blocked, marker, batch FROM (
+  SELECT *, row_number() OVER (PARTITION BY decision ORDER BY batch = 'review-1') AS n FROM (
+    SELECT *, coalesce(resumed_from, profile || '/' || change_id) AS decision FROM ({_REVIEWED} UNION ALL {_RESUMED})))
+WHERE n = 1""",
+)
+def _(d: Driver) -> DataFrame:
+    return decisions.latest(_resumed_log(d)).select("decision", "is_blocked", "marker", "batch")
+
+
 @query(
     "x7_summary",
     """SELECT profile, change_id, CASE WHEN is_blocked THEN 'HELD, waiting for ' || blocked_on

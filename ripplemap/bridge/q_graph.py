@@ -222,18 +222,37 @@ def _(d: Driver) -> DataFrame:
     "v7_orphans",
     """SELECT profile, scope_id, urn, 'star' AS mode FROM fx_sub WHERE direction = 'upstream'
   AND regexp_extract(urn, 'dataPlatform:([^,]+),', 1) NOT IN ('region', 'part')
-UNION ALL SELECT s.profile, s.scope_id, s.urn, 'true' FROM fx_sub s WHERE s.hop > 0
-  AND regexp_extract(s.urn, 'dataPlatform:([^,]+),', 1) NOT IN ('region', 'part')
-  AND NOT EXISTS (SELECT 1 FROM fx_pedges e WHERE e.profile = s.profile AND e.down_urn = s.urn)""",
+UNION ALL SELECT profile, scope_id, urn, 'true' FROM fx_induced_orphans""",
 )
 def _(d: Driver) -> DataFrame:
     sub = d.review().subgraph
     star = cov.orphan_rows(sub, list(LANDING)).withColumn("mode", F.lit("star"))
-    true = cov.orphan_rows(sub, list(LANDING), d.profile_edges).withColumn("mode", F.lit("true"))
+    true = d.review(true_edges=True, true_provenance=True).orphans.withColumn("mode", F.lit("true"))
     keep = ["profile", "scope_id", "urn", "mode"]
     return star.select(*keep).unionByName(true.select(*keep))
 
 
+@query(
+    "v7_induced_score",
+    """SELECT s.profile, s.scope_id, s.reached, s.orphans, round(s.ratio, 3) AS parsed_edge_ratio, s.score,
+  coalesce(x.n_spots, 0) AS n_spots, s.score >= 0.6 AND coalesce(x.blocking, 0) = 0 AS gate_passed
+FROM fx_induced_score s LEFT JOIN (
+  SELECT profile, scope_id, count(*) AS n_spots, count(*) FILTER (blocks) AS blocking FROM fx_induced_spots
+  GROUP BY ALL) x USING (profile, scope_id)""",
+)
+def _(d: Driver) -> DataFrame:
+    """Coverage with the catalog's own edges: evidence, orphans, spots, score and gate."""
+    return d.review(true_edges=True, true_provenance=True).coverage.select(
+        "profile", "scope_id", "reached", "orphans", "parsed_edge_ratio", "score",
+        F.size("spots").alias("n_spots"), "gate_passed",
+    )
+
+
+@query("v7_induced_spots", f"SELECT {_SPOT} FROM fx_induced_spots")
+def _(d: Driver) -> DataFrame:
+    return _spots(d, true_edges=True, true_provenance=True)
+
+
 @query("v7_orphan_spots", f"SELECT {_SPOT} FROM fx_spots WHERE ord = 2")
 def _(d: Driver) -> DataFrame:
     return _spots(d, 2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions.constants import COVERAGE_THRESHOLD, MIN_REACH
 from ripplemap.functions.urn import urn_platform
+from ripplemap.operators.skew import ROWS_PER_SHARD, hot_keys, join_split
 
 SPOT_TYPE = "array<struct<ord:int,description:string,platform:string,blocks:boolean>>"
 
@@ -38,29 +39,59 @@ def registry_summary(registry: DataFrame) -> DataFrame:
     )
 
 
+def _inner(sub: DataFrame, landing: list[str]) -> DataFrame:
+    """Kept entities that should have an origin: neither the root nor on a landing platform."""
+    return sub.filter((F.col("hop") > 0) & ~urn_platform(F.col("urn")).isin(landing))
+
+
+def with_origin(
+    inner: DataFrame, sub: DataFrame, edges: DataFrame, hot: DataFrame | None = None
+) -> DataFrame:
+    """Rows (profile, scope_id, urn) of ``inner`` with an incoming edge of the induced subgraph: one
+    that the profile sees and whose upper end was kept in the same scope.
+
+    ``hot`` lists entities (profile, urn) that very many scopes hold; their rows are spread out.
+    """
+    keys = ["profile", "scope_id"]
+    rows = inner.select(*keys, "urn")
+    ends = edges.select("profile", F.col("down_urn").alias("urn"), "up_urn").distinct()
+    ups = join_split(rows, ends, hot, ["profile", "urn"], "scope_id")
+    held = sub.select(*keys, F.col("urn").alias("up_urn"))
+    return ups.join(held, [*keys, "up_urn"], "left_semi").select(*keys, "urn").distinct()
+
+
+def hot_entities(inner: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    counts = inner.groupBy("profile", "urn").agg(F.count(F.lit(1)).alias("n"))
+    return hot_keys(counts, ["profile", "urn"], "n", rows_per_shard)
+
+
 def orphan_rows(
-    sub: DataFrame, landing: list[str], true_edges: DataFrame | None = None
+    sub: DataFrame, landing: list[str], edges: DataFrame | None = None, hot: DataFrame | None = None
 ) -> DataFrame:
     """Kept entities whose origin the catalog cannot tell, one row each.
 
-    Default: entities without an incoming star edge, which are the upstream ones. With
-    ``true_edges`` the catalog's own edges decide. Landing platforms are expected to have no
-    origin and the root is never listed.
+    Default: entities without an incoming star edge, which are the upstream ones. With ``edges`` the
+    subgraph that the kept entities induce in the catalog decides. Landing platforms are expected to
+    have no origin and the root is never listed.
     """
-    inner = sub.filter((F.col("hop") > 0) & ~urn_platform(F.col("urn")).isin(landing))
-    if true_edges is None:
+    inner = _inner(sub, landing)
+    if edges is None:
         return inner.filter(F.col("direction") == "upstream")
-    has_origin = true_edges.select("profile", F.col("down_urn").alias("urn"))
-    return inner.join(has_origin, ["profile", "urn"], "left_anti")
+    return inner.join(with_origin(inner, sub, edges, hot), ["profile", "scope_id", "urn"], "left_anti")
+
 
+def scope_facts(
+    sub: DataFrame, landing: list[str], true_provenance: bool = False, orphans: DataFrame | None = None
+) -> DataFrame:
+    """Counters per scope; every group is reduced map-side to one bounded row.
 
-def scope_facts(sub: DataFrame, landing: list[str], true_provenance: bool = False) -> DataFrame:
-    """Counters per scope; every group is reduced map-side to one bounded row."""
+    ``orphans`` are rows of ``orphan_rows``; without them those of the star count.
+    """
     other = F.col("hop") > 0
     platform = urn_platform(F.col("urn"))
     provenance = F.col("provenance") if true_provenance else F.lit("parsed")
     is_orphan = (F.col("direction") == "upstream") & ~platform.isin(landing)
-    return sub.groupBy("profile", "scope_id").agg(
+    facts = sub.groupBy("profile", "scope_id").agg(
         F.count(F.lit(1)).alias("reached"),
         F.count_if(other).alias("edges"),
         F.count_if(other & (provenance == "parsed")).alias("parsed_edges"),
@@ -68,6 +99,12 @@ def scope_facts(sub: DataFrame, landing: list[str], true_provenance: bool = Fals
         F.count_if(is_orphan).alias("orphans"),
         F.array_sort(F.collect_set(F.when(other, platform))).alias("consumer_platforms"),
     )
+    if orphans is None:
+        return facts
+    counted = orphans.groupBy("profile", "scope_id").agg(F.count(F.lit(1)).alias("orphans"))
+    return facts.drop("orphans").join(counted, ["profile", "scope_id"], "left").withColumn(
+        "orphans", F.coalesce("orphans", F.lit(0))
+    )
 
 
 def _spot(ord_: int, description: Column, blocks: bool) -> Column:

@@ -160,6 +160,53 @@ def resume(held: DataFrame, reviewed_again: DataFrame) -> DataFrame:
     )
 
 
+LOG = (
+    "profile", "change_id", "is_blocked", "marker", "doc_type", "title", "blocked_on", "overall",
+    "recorded_at", "resumed_from",
+)
+
+
+def decision_id() -> Column:
+    return F.format_string("%s/%d", "profile", "change_id")
+
+
+def log_rows(decision_rows: DataFrame) -> DataFrame:
+    """Decisions as the log records them."""
+    return decision_rows.withColumn("resumed_from", F.lit(None).cast("string")).select(*LOG)
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The latest row of every decision (``decision``): its own, or one that resumed it.
+
+    ``log`` has ``seq``; of one batch and decision the row with the smallest profile counts.
+    """
+    decision = F.coalesce("resumed_from", decision_id()).alias("decision")
+    row = F.struct(*log.columns).alias("row")
+    order = F.struct((-F.col("row.seq")).alias("seq"), F.col("row.profile").alias("profile"))
+    rows = log.select(decision, row)
+    return rows.groupBy("decision").agg(F.min_by("row", order).alias("row")).select("decision", "row.*")
+
+
+def resumed_rows(log: DataFrame, reviewed_again: DataFrame) -> DataFrame:
+    """Whole log rows for the decisions that are held by their latest row and pass the gate now.
+
+    They point at the decision they resume. Once appended, the decision is not held any more, so
+    that resuming again gives no row.
+    """
+    waiting = latest(log).filter("is_blocked").select("change_id", F.col("decision").alias("resumed_from"))
+    passed = reviewed_again.filter("may_assert_safe").drop("resumed_from")
+    rows = passed.join(waiting, "change_id").withColumns(
+        {
+            "is_blocked": F.lit(False),
+            "marker": F.lit(K.MARKER_RESOLVED),
+            "doc_type": F.lit(K.DOC_ANALYSIS),
+            "title": F.regexp_replace("title", "^held: ", "assessed: "),
+            "blocked_on": F.lit(None).cast("string"),
+        }
+    )
+    return rows.select(*LOG)
+
+
 def summary_line() -> Column:
     return F.when(
         F.col("is_blocked"), F.concat(F.lit("HELD, waiting for "), F.col("blocked_on"))

@@ -51,18 +51,22 @@ class Review:
         true_provenance: bool = False,
         rows_per_shard: int = ROWS_PER_SHARD,
         max_hops: int = MAX_HOPS,
+        true_edges: bool = False,
     ) -> None:
         self.changes, self.catalog, self.overrides = changes, catalog, overrides
         self.sources, self.attempts = sources, attempts
         self.threshold, self.judge_column = threshold, judge_column
         self.true_provenance, self.rows_per_shard = true_provenance, rows_per_shard
-        self.max_hops = max_hops
+        self.max_hops, self.true_edges = max_hops, true_edges
 
-    def variant(self, judge_column: str | None = None, true_provenance: bool = False) -> "Review":
-        """The same review under another judge or provenance mode, on the same expansion."""
+    def variant(
+        self, judge_column: str | None = None, true_provenance: bool = False, true_edges: bool = False
+    ) -> "Review":
+        """The same review under another judge, or with the catalog's own evidence (``true_provenance``)
+        or edges (``true_edges``: orphans of the induced subgraph), on the same expansion."""
         other = Review(
             self.changes, self.catalog, self.overrides, self.sources, self.attempts, self.threshold,
-            judge_column, true_provenance, self.rows_per_shard, self.max_hops,
+            judge_column, true_provenance, self.rows_per_shard, self.max_hops, true_edges,
         )
         self.subgraph  # noqa: B018 - make sure the expansion is stored before it is shared
         for name in ("resolved", "links", "hubs", "subgraph", "closure_rows"):
@@ -114,7 +118,15 @@ class Review:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return cov.scope_facts(self.subgraph, list(self.catalog.landing), self.true_provenance)
+        orphans = self.orphans if self.true_edges else None
+        return cov.scope_facts(self.subgraph, list(self.catalog.landing), self.true_provenance, orphans)
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        """Kept entities without an incoming edge from another one of their scope."""
+        landing = list(self.catalog.landing)
+        hot = if_any(cov.hot_entities(self.subgraph, self.rows_per_shard))
+        return stored(cov.orphan_rows(self.subgraph, landing, self.catalog.edges, hot), "orphans")
 
     @cached_property
     def coverage(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ripplemap.functions import constants as K
 from ripplemap.functions.text import replace_first_word, replace_words
 from ripplemap.marts.segments import customer_segments
-from ripplemap.operators import catalog, changes, coverage, resolve, search
+from ripplemap.operators import catalog, changes, coverage, decisions, resolve, search
 from ripplemap.operators.skew import hot_keys, join_split
 from ripplemap.plans.combined import combined_check
 from ripplemap.plans.session import scratch
@@ -187,3 +187,43 @@ def test_a_model_broken_before_the_change_matches_nothing(spark):
     rows = combined_check(spark, {"t": t}, models, {"model": "m", "column": "c", "new_value": "fixed"}, [])
     found = {(r["variant"], r["model"]): (r["exit_code"], r["matches"]) for r in rows.collect()}
     assert found[("change_only", "n")] == (0, False)
+
+
+def test_decision_log_takes_each_batch_once(spark, tmp_path):
+    schema = "profile string, change_id int, is_blocked boolean, marker string, doc_type string, title string, blocked_on string, overall string, recorded_at timestamp, resumed_from string"
+    row = lambda p, c, held, frm=None: (p, c, held, "m", "d", "held: t" if held else "t", "x", "breaks", None, frm)
+    rows = spark.createDataFrame([row("dark", 1, True), row("dark", 2, True), row("dark", 3, False)], schema)
+    log = sinks.DecisionLog(spark, f"file://{tmp_path}/log", rows.schema)
+    assert log.read().count() == 0 and log.batches().count() == 0
+    assert log.append(rows, "one") and not log.append(rows, "one")
+    rows.write.parquet(f"file://{tmp_path}/log/rows/batch=broken")  # broke off before its commit
+    assert log.read().count() == 3
+    again = spark.createDataFrame([row("all", 1, True), row("all", 2, False), row("all", 3, False)], schema)
+    again = again.withColumn("may_assert_safe", F.col("change_id") != 1)
+    assert log.append(decisions.resumed_rows(log.read(), again), "two")
+    assert decisions.resumed_rows(log.read(), again).count() == 0
+    assert log.append(decisions.resumed_rows(log.read(), again), "three")
+    got = sorted((r["profile"], r["change_id"], r["is_blocked"], r["title"], r["resumed_from"], r["batch"], r["seq"]) for r in log.read().collect())
+    assert got == [
+        ("all", 2, False, "t", "dark/2", "two", 1),
+        ("dark", 1, True, "held: t", None, "one", 0), ("dark", 2, True, "held: t", None, "one", 0),
+        ("dark", 3, False, "t", None, "one", 0),
+    ]
+    state = {r["decision"]: r["is_blocked"] for r in decisions.latest(log.read()).collect()}
+    assert state == {"dark/1": True, "dark/2": False, "dark/3": False}
+
+
+def test_orphans_of_the_induced_subgraph(spark):
+    urn = "urn:li:dataset:(urn:li:dataPlatform:x,{},PROD)".format
+    kept = [("p", 1, urn("r"), "root", 0), ("p", 1, urn("a"), "downstream", 1), ("p", 1, urn("b"), "upstream", 1)]
+    kept += [("p", 2, urn("c"), "root", 0), ("p", 2, urn("a"), "downstream", 1), ("p", 2, urn("b"), "downstream", 2)]
+    sub = spark.createDataFrame(kept, "profile string, scope_id int, urn string, direction string, hop int")
+    edges = spark.createDataFrame(
+        [("p", urn("r"), urn("a")), ("p", urn("c"), urn("b")), ("q", urn("c"), urn("a"))],
+        "profile string, up_urn string, down_urn string",
+    )
+    for hot in (None, coverage.hot_entities(sub, 1)):
+        rows = coverage.orphan_rows(sub, ["land"], edges, hot).collect()
+        assert {(r["scope_id"], r["urn"]) for r in rows} == {(1, urn("b")), (2, urn("a"))}
+    facts = coverage.scope_facts(sub, ["land"], orphans=coverage.orphan_rows(sub, ["land"], edges))
+    assert {(r["scope_id"], r["orphans"]) for r in facts.collect()} == {(1, 1), (2, 1)}
