@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemap.bridge import q_decisions
 from ripplemap.bridge.ctes import NAME_OF_URN, PLATFORM_OF_URN
 from ripplemap.bridge.registry import query
 from ripplemap.bridge.tables import PLATFORMS, PROFILES, TABLES, Driver, _name, line_name
@@ -14,7 +15,7 @@ from ripplemap.functions.urn import dataset_urn, field_urn, registry_urn, urn_na
 from ripplemap.marts.segments import customer_segments
 from ripplemap.operators import annotate, catalog, cube, decisions, expand, paths, postings, search
 from ripplemap.plans.session import scratch, stored
-from ripplemap.sources import readers, sinks
+from ripplemap.sources import files, readers, sinks
 
 # --- sources and sinks ----------------------------------------------------
 
@@ -49,6 +50,24 @@ def _(d: Driver) -> DataFrame:
     return one.select("name", "path").join(files, "name")
 
 
+@query(
+    "s2_model_files",
+    """SELECT 'doc-' || doc_id AS name, least(source, lang) || '/doc-' || doc_id || '.sql' AS path, md5(text) AS digest
+FROM documents""",
+)
+def _(d: Driver) -> DataFrame:
+    """Model files, most of them in two folders, written to storage and scanned back."""
+    docs = d.table("documents")
+    name = _name("doc-", F.col("doc_id"))
+    folders = F.explode(F.array_distinct(F.array("source", "lang")))
+    copies = docs.select(folders.alias("folder"), name.alias("name"), F.col("text").alias("line"))
+    named = copies.withColumn("file", F.concat("folder", F.lit("/"), "name", F.lit(".sql")))
+    folder = scratch(d.spark, "model_files")
+    files.write_files(named, folder, [], ending="")
+    found = readers.written_sources(d.spark, folder)
+    return found.select("name", "path", F.md5(F.col("sql_text").cast("binary")).alias("digest"))
+
+
 @query("s3_diff_scan", "SELECT text, count(*) AS n FROM fx_diffs GROUP BY text")
 def _(d: Driver) -> DataFrame:
     folder = scratch(d.spark, "diff_feed")
@@ -247,6 +266,23 @@ def _(d: Driver) -> DataFrame:
     )
 
 
+@query(
+    "s10_document_files",
+    f"""SELECT profile || '-' || model || '-' || CASE WHEN is_blocked THEN 'held' ELSE 'review' END || '-' || change_id || '.md'
+  AS file, n AS lines, chars FROM fx_decisions JOIN (
+  SELECT profile, change_id, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (
+    {q_decisions.DOCUMENT_LINES}) GROUP BY ALL) USING (profile, change_id)""",
+)
+def _(d: Driver) -> DataFrame:
+    """Every decision's document as a file of its own, read back from the committed folders."""
+    r, folder = d.review(), scratch(d.spark, "document_files")
+    sinks.write_review_files(r.documents, r.decisions, folder)
+    chars = F.length(F.replace("text", F.lit("\n"), F.lit(""))).cast("long")
+    return files.read_files(d.spark, folder).select(
+        F.col("path").alias("file"), (F.length("text") - chars).alias("lines"), chars.alias("chars")
+    )
+
+
 # --- catalog construction -------------------------------------------------
 
 

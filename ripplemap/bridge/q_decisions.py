@@ -231,6 +231,9 @@ UNION ALL SELECT profile, change_id, 30, 'Missing: ' || unnest(blocking_texts) F
 UNION ALL SELECT profile, change_id, section, line FROM ({_IMPACT_LINES}) WHERE is_blocked"""
 
 
+DOCUMENT_LINES = f"{_REVIEW_LINES} UNION ALL {_REFUSAL_LINES}"
+
+
 @query("p5_refusals", _REFUSAL_LINES)
 def _(d: Driver) -> DataFrame:
     lines = d.review().documents.filter("is_blocked")

@@ -8,7 +8,6 @@ text in one task. ``section`` and ``key`` give the reading order.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemap.functions import constants as K
 from ripplemap.functions.text import dotted, file_stem
 from ripplemap.operators.coverage import spot_platforms
 
@@ -175,5 +174,14 @@ def documents(
     )
 
 
-def document_name(profile: Column, model: Column, is_blocked: Column) -> Column:
-    return F.concat_ws("-", profile, model, F.when(is_blocked, K.MARKER_HELD.split(":")[1]).otherwise("review"))
+def document_name(profile: Column, model: Column, is_blocked: Column, change_id: Column) -> Column:
+    """File of a document: profile, model and outcome, and the change, since a model may have many."""
+    outcome = F.when(is_blocked, "held").otherwise("review")
+    return F.concat_ws("-", profile, model, outcome, change_id.cast("string"))
+
+
+def document_files(lines: DataFrame, decision_rows: DataFrame) -> DataFrame:
+    """Lines of documents with the ``file`` that they belong to."""
+    parts = [F.col(c) for c in ("profile", "model", "is_blocked", "change_id")]
+    named = decision_rows.select(*_ID, document_name(*parts).alias("file"))
+    return lines.join(named, _ID).select("file", "section", "key", "line")

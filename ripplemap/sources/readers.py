@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.functions.text import file_stem
+from ripplemap.sources.files import read_files
 
 DIFF_BREAK = "\ndiff --git "
 SNAPSHOT_SCHEMA = (
@@ -23,6 +24,12 @@ def model_sources(spark: SparkSession, folder: str) -> DataFrame:
     return one_per_stem(files)
 
 
+def written_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a folder that ``files.write_files`` wrote: relative paths, finished writes only."""
+    found = read_files(spark, folder, "*.sql")
+    return one_per_stem(found.withColumnRenamed("text", "sql_text"))
+
+
 def one_per_stem(files: DataFrame) -> DataFrame:
     """The file with the smallest path for each model name, so the pick is stable.
 

@@ -10,7 +10,7 @@ from ripplemap.operators import catalog, changes, coverage, decisions, resolve,
 from ripplemap.operators.skew import hot_keys, join_split
 from ripplemap.plans.combined import combined_check
 from ripplemap.plans.session import scratch
-from ripplemap.sources import readers, sinks
+from ripplemap.sources import files, readers, sinks
 
 HEAD = "--- a/models/staging/stg_orders.sql\n+++ b/models/staging/stg_orders.sql\n"
 DIFFS = {
@@ -227,3 +227,21 @@ def test_orphans_of_the_induced_subgraph(spark):
         assert {(r["scope_id"], r["urn"]) for r in rows} == {(1, urn("b")), (2, urn("a"))}
     facts = coverage.scope_facts(sub, ["land"], orphans=coverage.orphan_rows(sub, ["land"], edges))
     assert {(r["scope_id"], r["orphans"]) for r in facts.collect()} == {(1, 1), (2, 1)}
+
+
+def test_one_file_a_document_and_only_finished_writes_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    rows = [(f"d{k % 3}/doc-{k}.txt", n, f"line {n} of {k} é") for k in range(40) for n in range(k % 7 + 1)]
+    rows += [("empty.txt", 0, None)]
+    df = spark.createDataFrame(rows, "file string, n int, line string").repartition(5)
+    files.write_files(df, path, ["n"])
+    (tmp_path / "out" / "attempt-00000000000000000000000000000000").mkdir()
+    (tmp_path / "out" / "attempt-00000000000000000000000000000000" / "stray.txt").write_text("broke off")
+    got = {r["path"]: r["text"] for r in files.read_files(spark, path).collect()}
+    want = {}
+    for name, n, line in sorted(rows, key=lambda r: r[:2]):
+        want[name] = want.get(name, "") + (line or "") + "\n"
+    assert got == want and files.committed(spark, path)[1] == 41
+    assert len([p for p in tmp_path.rglob("*.txt")]) == 42
+    files.write_files(df.limit(0), f"{path}-none", ["n"])
+    assert files.read_files(spark, f"{path}-none").count() == 0
