@@ -284,34 +284,38 @@ def _(d: Driver) -> DataFrame:
 
 
 _E4_RULES = [
-    ("a passed gate lets generation proceed",
-     "profile = 'covered' AND kind = 'column_renamed' AND gate_passed", "NOT is_blocked"),
-    ("fixes are generated", "profile = 'covered' AND kind = 'column_renamed' AND fixed > 0", "true"),
-    ("a passed gate permits safety claims", "gate_passed", "may_assert_safe"),
-    ("unseen consumers block generation",
+    ("lit-open-gate-goes-on", "profile = 'covered' AND kind = 'column_renamed' AND gate_passed", "NOT is_blocked"),
+    ("lit-rename-has-edits", "profile = 'covered' AND kind = 'column_renamed' AND fixed > 0", "true"),
+    ("gate-carries-claim", "gate_passed", "may_assert_safe"),
+    ("dim-rename-waits",
      "profile = 'dark' AND kind = 'column_renamed' AND impacted > 0 AND blocking > 0 AND NOT overridden", "is_blocked"),
-    ("nothing is edited while blocked", "is_blocked", "fixed = 0"),
-    ("a held decision names what it waits for", "is_blocked", "coalesce(blocked_on, '') <> ''"),
-    ("the named fact contains the blocking platform", "is_blocked AND len(blocking_platforms) > 0",
-     "contains(blocked_on, blocking_platforms[1])"),
-    ("intrinsically safe changes are never held", "intrinsic", "NOT is_blocked"),
-    ("an override proceeds", "overridden", "NOT is_blocked"),
-    ("an override is recorded with its reason", "overridden", "override_reason IS NOT NULL"),
-    ("an override shows in the document", "overridden", "NOT is_blocked"),
+    ("held-without-edits", "is_blocked", "fixed = 0"),
+    ("held-with-reason", "is_blocked", "coalesce(blocked_on, '') <> ''"),
+    ("reason-has-platform", "is_blocked AND len(blocking_platforms) > 0", "contains(blocked_on, blocking_platforms[1])"),
+    ("widening-is-free", "intrinsic", "NOT is_blocked"),
+    ("override-goes-on", "overridden", "NOT is_blocked"),
+    ("override-has-reason", "overridden", "override_reason IS NOT NULL"),
+    ("override-has-notice", "overridden", "noticed"),
 ]
 _E4 = "\nUNION ALL ".join(
     f"SELECT '{name}' AS \"check\", count(*) FILTER ({applies}) AS cases, "
     f"count(*) FILTER ({applies} AND NOT ({holds})) AS violations, "
     f"count(*) FILTER ({applies}) > 0 AND count(*) FILTER ({applies} AND NOT ({holds})) = 0 AS passed "
-    "FROM fx_decisions"
+    "FROM noticed_decisions"
     for name, applies, holds in _E4_RULES
 )
+# Whether a document has the notice is read from its lines.
+_E4 = f"""SELECT * FROM (WITH noticed_decisions AS (
+  SELECT d.*, n.change_id IS NOT NULL AS noticed FROM fx_decisions d LEFT JOIN (
+    SELECT DISTINCT profile, change_id FROM ({_REVIEW_LINES}) WHERE section = 30 AND starts_with(line, 'Gate overridden')) n
+  USING (profile, change_id))
+{_E4})"""
 
 
 @query("e4_gate_checks", _E4)
 def _(d: Driver) -> DataFrame:
     r = d.review()
-    notices = report.review_lines(r.decisions).filter(F.col("section") == 30)
+    notices = r.documents.filter((F.col("section") == 30) & F.startswith("line", F.lit("Gate overridden")))
     return evaluate.gate_checks(r.decisions, r.edits, notices, *PROFILES)
 
 

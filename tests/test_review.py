@@ -13,20 +13,32 @@ def review(spark):
     return mini.build(spark)
 
 
+# The declared estate has 25 entities; the part profile misses wall and robot, 8 of them: 17 / 25 = 0.68.
 GOLDEN = {
     # change: (reached, score, impacted, overall, blocked, edits) per profile
-    (1, "covered"): (1, 0.0, 0, "safe", False, 0),
-    (1, "dark"): (1, 0.0, 0, "safe", False, 0),
-    (2, "covered"): (1, 0.0, 0, "safe", False, 0),
-    (2, "dark"): (1, 0.0, 0, "safe", False, 0),
-    (3, "covered"): (1, 0.0, 0, "touches", True, 0),
-    (3, "dark"): (1, 0.0, 0, "touches", True, 0),
-    (4, "covered"): (9, 1.0, 8, "breaks", False, 4),
-    (4, "dark"): (5, 0.815, 4, "breaks", True, 0),
-    (5, "covered"): (6, 1.0, 5, "degrades", False, 0),
-    (5, "dark"): (3, 0.815, 2, "degrades", True, 0),
-    (6, "covered"): (9, 1.0, 8, "breaks", False, 4),
-    (6, "dark"): (5, 0.815, 4, "breaks", False, 4),
+    # Hop 1 of tides.level is dwell; then delays and port, then feedback and eta.
+    (1, "full"): (6, 1.0, 0, "safe", False, 0),
+    (1, "part"): (4, 0.68, 0, "safe", False, 0),
+    (2, "full"): (1, 0.0, 0, "safe", False, 0),
+    (2, "part"): (1, 0.0, 0, "safe", False, 0),
+    # No column reads lifts.kg, so nothing can be claimed.
+    (3, "full"): (1, 0.0, 0, "touches", True, 0),
+    (3, "part"): (1, 0.0, 0, "touches", True, 0),
+    # calls.ship: loads, dwell; berths, yard, wall.loads, delays, port; feedback, eta.
+    (4, "full"): (10, 1.0, 9, "breaks", False, 3),
+    (4, "part"): (5, 0.68, 4, "breaks", True, 0),
+    (5, "full"): (6, 1.0, 5, "degrades", False, 0),
+    (5, "part"): (4, 0.68, 3, "degrades", True, 0),
+    (6, "full"): (10, 1.0, 9, "breaks", False, 3),
+    (6, "part"): (5, 0.68, 4, "breaks", False, 3),
+    # delays.minutes: feedback, then eta; the way back up finds feedback, which is known, and stops.
+    (7, "full"): (3, 1.0, 2, "breaks", False, 0),
+    (7, "part"): (2, 0.68, 1, "breaks", True, 0),
+    # Two entities are called loads, and none nowhere.
+    (8, "full"): (0, 0.0, 0, "touches", True, 0),
+    (8, "part"): (0, 0.0, 0, "touches", True, 0),
+    (9, "full"): (0, 0.0, 0, "touches", True, 0),
+    (9, "part"): (0, 0.0, 0, "touches", True, 0),
 }
 
 
@@ -42,16 +54,19 @@ def test_golden_outcomes(review):
 
 def test_override_only_where_the_gate_failed(review):
     rows = {(r["change_id"], r["profile"]): r for r in review.decisions.collect()}
-    assert rows[6, "dark"]["overridden"] and rows[6, "dark"]["override_reason"] == "owners checked"
-    assert not rows[6, "covered"]["overridden"]
-    assert rows[4, "dark"]["blocked_on"] == "lineage of: python, tableau"
-    assert rows[3, "covered"]["blocked_on"].startswith("coverage 0.0")
+    assert rows[6, "part"]["overridden"] and rows[6, "part"]["override_reason"] == "harbour master agreed"
+    assert not rows[6, "full"]["overridden"]
+    assert rows[4, "part"]["blocked_on"] == "lineage of: robot, wall"
+    assert rows[3, "full"]["blocked_on"].startswith("coverage 0.0")
 
 
 def test_edits_leave_longer_words_alone(review):
     texts = {r["name"]: r["modified"] for r in review.edits.filter("change_id = 4").collect()}
-    assert set(texts) == {"dim_customers", "fct_orders", "fct_revenue", "customer_ltv"}
-    assert texts["fct_orders"] == "select customer_id, cust_id_hash from fct_orders"
+    assert texts == {
+        "loads": "select c.vessel, ship_flag, kg from calls c",
+        "dwell": "select vessel from calls where vessel > 0",
+        "delays": "select vessel, minutes from dwell",
+    }
 
 
 def test_impacts_agree_with_verdict_counters(review):
@@ -80,9 +95,9 @@ def test_body_parts_hold_every_impact(review):
 
     assert listed(parts) == listed(whole)
     assert parts.count() > whole.count()
-    body = whole.filter("change_id = 4 AND profile = 'covered'").select(F.from_json("body", schema).alias("b"))
+    body = whole.filter("change_id = 4 AND profile = 'full'").select(F.from_json("body", schema).alias("b"))
     read = body.first()["b"]
-    assert read["verified"] and len(read["edits"]) == 4
+    assert read["verified"] and len(read["edits"]) == 3
 
 
 def test_documents(review):
@@ -90,32 +105,37 @@ def test_documents(review):
     text = {}
     for r in lines:
         text.setdefault((r["change_id"], r["profile"]), []).append(r["line"])
-    refusal = "\n".join(text[4, "dark"])
-    assert "Waiting for lineage of: python, tableau" in refusal and "lower bound" in refusal
-    assert "does not mean that nothing exists" in "\n".join(text[3, "dark"])
-    full = "\n".join(text[4, "covered"])
-    assert "Affected assets: 8, and the list is complete." in full
-    assert "4 of 8 broken references" in full and full.count("fixed here") == 4
-    assert "overridden" in "\n".join(text[6, "dark"])
-    assert "at least 4. python, tableau have no visible lineage" in "\n".join(text[6, "dark"])
+    refusal = "\n".join(text[4, "part"])
+    assert "Waiting for lineage of: robot, wall" in refusal and "lower bound" in refusal
+    assert "does not mean that nothing exists" in "\n".join(text[3, "part"])
+    full = "\n".join(text[4, "full"])
+    assert "Affected assets: 9, and the list is complete." in full
+    # The flag goes by file stem, so the board called loads counts with the model of that name.
+    assert "3 of 9 broken references" in full and full.count("fixed here") == 4
+    assert "overridden" in "\n".join(text[6, "part"])
+    assert "at least 4. robot, wall have no visible lineage" in "\n".join(text[6, "part"])
+    assert "2 entities" in "\n".join(text[8, "full"])
 
 
 def test_evaluation_metrics(spark, review):
     labels = spark.createDataFrame(
-        [(1, "safe"), (2, "safe"), (3, "safe"), (4, "breaks"), (5, "degrades")],
+        [(1, "safe"), (2, "safe"), (3, "safe"), (4, "breaks"), (5, "degrades"), (7, "safe"), (8, "breaks")],
         "change_id bigint, expected_tier string",
     )
     rows = evaluate.metrics(evaluate.outcomes(review.decisions, labels)).collect()
-    assert {tuple(r)[1:] for r in rows} == {(5, 0, 0, 1)} and len(rows) == 2
+    # Cases, false alarms (7), missed (8, which is held instead), safe ones held (3; 7 in part).
+    assert {r["profile"]: tuple(r)[1:] for r in rows} == {"full": (7, 1, 1, 1), "part": (7, 1, 1, 2)}
     notices = report.review_lines(review.decisions).filter("section = 30")
-    checks = evaluate.gate_checks(review.decisions, review.edits, notices, "covered", "dark").collect()
+    checks = evaluate.gate_checks(review.decisions, review.edits, notices, "full", "part").collect()
     assert len(checks) == 11 and all(r["passed"] for r in checks)
+    lost = evaluate.gate_checks(review.decisions, review.edits, notices.limit(0), "full", "part").collect()
+    assert [r["check"] for r in lost if not r["passed"]] == ["override-has-notice"]
 
 
 def test_resume_and_summary(review):
     log = review.decisions
-    again = dec.resume(log.filter("profile = 'dark'"), log.filter("profile = 'covered'")).collect()
-    assert {r["change_id"] for r in again} == {4, 5}
-    assert all(r["resumed_from"].startswith("dark/") and not r["is_blocked"] for r in again)
+    again = dec.resume(log.filter("profile = 'part'"), log.filter("profile = 'full'")).collect()
+    assert {r["change_id"] for r in again} == {4, 5, 7}
+    assert all(r["resumed_from"].startswith("part/") and not r["is_blocked"] for r in again)
     lines = [r[0] for r in log.filter("change_id = 4").orderBy("profile").select(dec.summary_line()).collect()]
-    assert lines == ["BREAKS, 8 impacted (2024-01-01 10:00)", "HELD, waiting for lineage of: python, tableau"]
+    assert lines == ["BREAKS, 9 impacted (2031-05-06 07:08)", "HELD, waiting for lineage of: robot, wall"]
