@@ -29,28 +29,27 @@ def _(d: Driver) -> DataFrame:
 
 @query("d3_renames", f"SELECT {_CHANGE} FROM fx_renames")
 def _(d: Driver) -> DataFrame:
-    return chg.renames(chg.diff_lines(d.diffs()))
+    return chg.renames(d.diffs())
 
 
 @query("d4_type_changes", f"SELECT {_CHANGE} FROM fx_casts")
 def _(d: Driver) -> DataFrame:
-    return chg.type_changes(chg.diff_lines(d.diffs()))
+    return chg.type_changes(d.diffs())
 
 
 @query("d5_bare_columns", 'SELECT diff_id, model, side, "column" FROM fx_bare')
 def _(d: Driver) -> DataFrame:
-    return chg.bare_columns(chg.diff_lines(d.diffs()))
+    return chg.bare_columns(d.diffs())
 
 
 @query("d6_column_sets", f"SELECT {_CHANGE} FROM fx_column_sets")
 def _(d: Driver) -> DataFrame:
-    return chg.column_set_changes(chg.diff_lines(d.diffs()))
+    return chg.column_set_changes(d.diffs())
 
 
 @query("d7_logic_fallback", f"SELECT {_CHANGE} FROM fx_diff_changes WHERE ord = 4")
 def _(d: Driver) -> DataFrame:
-    lines = chg.diff_lines(d.diffs())
-    return chg.logic_fallback(lines, chg.recognised(lines))
+    return chg.logic_fallback(d.diffs())
 
 
 @query("d8_changes", f"SELECT {_CHANGE} FROM fx_diff_changes")

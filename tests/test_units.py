@@ -44,6 +44,12 @@ def test_diffs(spark):
     assert [g[1:3] for g in got if g[0] == 8] == [("column_dropped", "last_name")]
 
 
+def test_diffs_are_parsed_in_their_own_row(spark):
+    df = spark.createDataFrame(list(DIFFS.items()), "diff_id bigint, text string")
+    plan = changes.changes_from_diffs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+
+
 def test_split_files(spark):
     feed = spark.createDataFrame([(1, DIFFS[2] + "\n" + DIFFS[3].replace("orders", "users"))], "diff_id int, text string")
     rows = changes.model_names(changes.split_files(feed)).collect()
