@@ -1,7 +1,6 @@
 """Customer, order and revenue marts, and the data steps that feed the raw tables."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -67,32 +66,34 @@ def order_totals(items: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-SHARE_BUCKET_DIGITS = 4
+DIGITS = 4
 
 
 def seeded_share(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """A fixed-size pseudo-random share of the rows: the first ``round(share · n)`` in hash order.
 
-    Rows fall into 16^4 hash buckets. Whole buckets before the cut are taken as they are; only the
-    bucket that holds the cut is sorted. The bucket table has at most 65,536 rows.
+    The cut is found by radix selection: rows are counted by the next four hex digits of their hash,
+    at most 65,536 numbers, and only the digits that hold the cut are gone into, until a whole bucket
+    ends there. The share is then a filter. Rows of one key follow each other by a hash of the whole
+    row; of rows that are equal, as many are taken as belong to the share. An empty table gives none.
     """
-    digest = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, SHARE_BUCKET_DIGITS))
-    sizes = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cuts = sizes.select(
-        "_b",
-        (running - F.col("_n")).alias("_before"),
-        running.alias("_after"),
-        F.round(F.sum("_n").over(W.partitionBy()) * share).cast("bigint").alias("_take"),
-    ).filter(F.col("_before") < F.col("_take"))
-    placed = hashed.join(F.broadcast(cuts), "_b")
-    whole = placed.filter(F.col("_after") <= F.col("_take")).select(*df.columns)
-    rank = F.row_number().over(W.partitionBy("_b").orderBy("_h", key))
-    cut = (
-        placed.filter(F.col("_after") > F.col("_take"))
-        .withColumn("_r", rank)
-        .filter(F.col("_before") + F.col("_r") <= F.col("_take"))
-        .select(*df.columns)
-    )
-    return whole.unionByName(cut)
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    digest = F.concat(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), F.md5(row))
+    hashed = df.withColumn("_h", F.coalesce(digest, F.concat(F.lit("0" * 32), F.md5(row))))
+    need = int(df.agg(F.round(F.count(F.lit(1)) * share)).first()[0])
+    if need <= 0:
+        return df.limit(0)
+    prefix = ""
+    while len(prefix) < 64:
+        inside = hashed.filter(F.col("_h").startswith(prefix))
+        digits = F.substring("_h", len(prefix) + 1, DIGITS).alias("digits")
+        counts = inside.groupBy(digits).agg(F.count(F.lit(1)).alias("n")).orderBy("digits").collect()
+        for r in counts:
+            if r["n"] >= need:
+                break
+            need -= r["n"]
+        prefix += r["digits"]
+        if r["n"] == need:
+            return hashed.filter(F.substring("_h", 1, len(prefix)) <= prefix).select(*df.columns)
+    below = hashed.filter(F.col("_h") < prefix).select(*df.columns)
+    return below.unionByName(hashed.filter(F.col("_h") == prefix).select(*df.columns).limit(need))

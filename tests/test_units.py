@@ -251,3 +251,21 @@ def test_one_file_a_document_and_only_finished_writes_are_read(spark, tmp_path):
     assert len([p for p in tmp_path.rglob("*.txt")]) == 42
     files.write_files(df.limit(0), f"{path}-none", ["n"])
     assert files.read_files(spark, f"{path}-none").count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.87, 1.0])
+def test_seeded_share(spark, share):
+    from hashlib import md5
+
+    from ripplemap.marts import facts
+
+    # A third of the rows are equal, and a third share a key.
+    rows = [(7, 1)] * 60 + [(8, k) for k in range(60)] + [(k, 0) for k in range(100, 160)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    got = sorted(map(tuple, facts.seeded_share(df, "id", share, "s").collect()), key=str)
+    assert len(got) == int(share * len(rows) + 0.5)
+    order = lambda r: ("0" * 32 if r[0] is None else md5(f"s{r[0]}".encode()).hexdigest())
+    kept = sorted(rows, key=order)[: len(got)]
+    assert sorted(str(r[0]) for r in got) == sorted(str(r[0]) for r in kept)
+    assert sorted(map(tuple, facts.seeded_share(df.repartition(5), "id", share, "s").collect()), key=str) == got
+    assert facts.seeded_share(df.limit(0), "id", share, "s").count() == 0
