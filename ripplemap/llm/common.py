@@ -19,9 +19,16 @@ GAP = r"[\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 
 
+# Rows that Spark hands to a task at once, where the session has its default of 10,000: texts are long.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and keep batches of texts small."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
@@ -63,9 +70,12 @@ def pieces(
             yield batch.slice(start)
 
 
-def bounded_sample(docs: DataFrame, rows: int, key: str = "key") -> DataFrame:
-    """At most ``rows`` rows, chosen by a hash of the key; only keys are sorted to find them."""
-    place = F.xxhash64(key)
+def bounded_sample(docs: DataFrame, rows: int, key: str = "key", text: str = "text") -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of key and text; only hashes are sorted to find them.
+
+    Where equal rows meet the bound, as many of them as are left: any, since they are equal.
+    """
+    place = F.xxhash64(key, text)
     last = docs.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place"))
     bound = last.first()[0]
     return docs.where(place <= bound if bound is not None else F.lit(False)).limit(rows)

@@ -39,6 +39,8 @@ SHARD_SIZE = 1 << 20
 # Below that size, shards are made for the sake of more tasks only, and no more than this many.
 EARLY_SIZE, EARLY_SHARDS = 32_768, 8
 SAMPLE, SAMPLE_OF_NODE = 20_000, 64
+# Marked rows are looked up in a bitmap of so many 64-bit cells, which every task gets.
+CELLS = 1 << 18
 LEAF = 128
 BLOCK = 1 << 20
 
@@ -315,7 +317,8 @@ def one_of_each(
 
     It is the one with the smallest key, null keys last; of several rows with that key, one chosen by
     a hash of the whole row. Whole rows are told apart by two hashes, so that rows which share a key,
-    or have none, are documents of their own. Texts are shuffled only of rows that occur twice.
+    or have none, are documents of their own. The texts of rows that a bitmap of fixed size (16 million
+    bits) shows to be unmarked are not shuffled: most of them, up to some ten million marked rows.
     """
     own = [docs[c] for c in docs.columns]
     hashes = {"one": F.xxhash64(*own), "two": F.xxhash64(F.lit("two"), *own)}
@@ -328,11 +331,17 @@ def one_of_each(
     stay = _roots(groups, max_bits, shard_size).groupBy("root").agg(F.min("first").alias("first"))
     stay = stored(stay.select("first.one", "first.two", "first.copies"), "kept_rows")
     gone = rows.select(*ident).join(stay, ident, "left_anti").select(*ident, F.lit(0).alias("copies"))
-    # Few rows are marked, and a broadcast if Spark finds them small: those that go or are repeated.
+    # Marked are those that go or are repeated.
     marks = stored(gone.union(stay.where("copies > 1").select(*ident, F.lit(2))), "marked_rows")
+    cell = F.pmod("one", F.lit(CELLS)).alias("cell")
+    bit = F.pmod("two", F.lit(64)).cast("int")
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    cells = marks.select(cell, set_bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     named = docs.select(F.struct(*own).alias("row"), *(c.alias(n) for n, c in hashes.items()))
-    marked = named.join(marks, ident, "left")
-    kept = marked.where(F.col("copies").isNull())
+    looked = named.select("*", cell).join(F.broadcast(stored(cells, "marked_cells")), "cell", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(set_bit), F.lit(0)) != 0
+    marked = looked.where(may).join(marks, ident, "left")
+    kept = looked.where(~may).select("row").union(marked.where(F.col("copies").isNull()).select("row"))
     if not marks.where("copies > 1").isEmpty():
-        kept = kept.union(marked.where("copies > 1").dropDuplicates(ident))
+        kept = kept.union(marked.where("copies > 1").dropDuplicates(ident).select("row"))
     return kept.select("row.*")
