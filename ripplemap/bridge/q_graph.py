@@ -25,7 +25,7 @@ def _(d: Driver) -> DataFrame:
     from ripplemap.operators.verdict import changes_with
 
     r = d.review()
-    rows = changes_with(r.changes, r.resolved, None)
+    rows = changes_with(r.changes, r.resolved, r.hot_targets)
     return rows.select("change_id", "model", "candidates", "root_urn", "resolution")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ripplemap.functions import constants as K
 from ripplemap.functions.text import dotted
 from ripplemap.operators.coverage import spot_platforms
+from ripplemap.operators.verdict import LIST
 
 IMPACTS_PER_PART = 1000
 _ID = ["profile", "change_id"]
@@ -39,36 +40,50 @@ def decisions(remediation_rows: DataFrame) -> DataFrame:
     )
 
 
+def _part_of(n: Column, text: Column, per_part: int) -> Column:
+    parts = F.greatest(F.ceil(n / per_part), F.lit(1)).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % parts
+
+
+def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The JSON list of each part."""
+    entries = F.array_sort(F.collect_list(F.struct("urn", "tier", "why")))
+    return rows.groupBy(*keys, "part").agg(F.to_json(entries).alias("impacted_json"))
+
+
+def entry_lists(entries: DataFrame, per_part: int = IMPACTS_PER_PART) -> DataFrame:
+    """JSON lists in parts, once for each scope and tier, from ``verdict.scope_entries``."""
+    part = _part_of(F.col("entries"), F.col("urn"), per_part).alias("part")
+    return _listed(entries.select(*LIST, "urn", "why", part), LIST)
+
+
 def body_parts(
     decision_rows: DataFrame, impacts: DataFrame, edits: DataFrame | None = None,
-    checks: DataFrame | None = None, per_part: int = IMPACTS_PER_PART,
+    checks: DataFrame | None = None, per_part: int = IMPACTS_PER_PART, lists: DataFrame | None = None,
 ) -> DataFrame:
     """JSON bodies of 16 keys, in as many parts as the impacted list needs.
 
     A change with a million impacted assets must not become one string in one task, so the list is
     dealt over parts by a hash of the urn; each part holds about ``per_part`` entries and the parts
     together hold all of them. Edits are dealt the same way. Both inputs carry ``impacted``.
+    ``lists`` of ``entry_lists`` (with the same ``per_part``) serve all changes of a scope and tier;
+    without them each change's list is made from its ``impacts``.
     """
-
-    def part_of(n: Column, text: Column) -> Column:
-        parts = F.greatest(F.ceil(n / per_part), F.lit(1)).cast("bigint")
-        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % parts
-
     heads = decision_rows.withColumn(
         "parts", F.greatest(F.ceil(F.col("impacted") / per_part), F.lit(1)).cast("bigint")
     )
-    entry = F.struct("urn", "tier", "why")
-    listed = (
-        impacts.groupBy(*_ID, part_of(F.col("impacted"), F.col("urn")).alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("impacted_list"))
-    )
     frame = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    joined = frame.join(listed, [*_ID, "part"], "left")
-    if edits is not None:
-        paths = (
-            edits.groupBy(*_ID, part_of(F.col("impacted"), F.col("path")).alias("part"))
-            .agg(F.array_sort(F.collect_list("path")).alias("edit_paths"))
+    if lists is None:
+        part = _part_of(F.col("impacted"), F.col("urn"), per_part).alias("part")
+        own = _listed(impacts.select(*_ID, "urn", "tier", "why", part), _ID)
+        joined = frame.join(own, [*_ID, "part"], "left")
+    else:
+        joined = frame.join(lists, [*LIST, "part"], "left").withColumn(
+            "impacted_json", F.when(F.col("impacted") > 0, F.col("impacted_json"))
         )
+    if edits is not None:
+        part = _part_of(F.col("impacted"), F.col("path"), per_part).alias("part")
+        paths = edits.groupBy(*_ID, part).agg(F.array_sort(F.collect_list("path")).alias("edit_paths"))
         joined = joined.join(paths, [*_ID, "part"], "left")
     else:
         joined = joined.withColumn("edit_paths", F.lit(None).cast("array<string>"))
@@ -77,7 +92,7 @@ def body_parts(
     else:
         joined = joined.withColumn("verified", F.lit(None).cast("boolean"))
     empty = F.array().cast("array<string>")
-    body = F.struct(
+    before = F.struct(
         "marker",
         F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("recorded_at"),
         F.struct("model", "kind", "column", "new_value").alias("change"),
@@ -87,9 +102,8 @@ def body_parts(
         "may_assert_safe",
         F.transform("spots", lambda s: s["description"]).alias("blind_spots"),
         "blocked_on",
-        F.coalesce(
-            "impacted_list", F.array().cast("array<struct<urn:string,tier:string,why:string>>")
-        ).alias("impacted"),
+    )
+    after = F.struct(
         F.col("reached").alias("subgraph_size"),
         "strategy",
         "alternatives",
@@ -97,10 +111,15 @@ def body_parts(
         F.coalesce("verified", F.lit(False)).alias("verified"),
         F.lit(None).cast("string").alias("review_url"),
     )
+    options = {"ignoreNullFields": "false"}
+    head = F.regexp_replace(F.to_json(before, options), r"\}\z", "")
+    tail = F.regexp_replace(F.to_json(after, options), r"\A\{", "")
+    body = F.concat(
+        head, F.lit(',"impacted":'), F.coalesce("impacted_json", F.lit("[]")), F.lit(","), tail
+    )
     return joined.select(
-        *_ID, "part", "parts", "doc_type", "title", "is_blocked",
-        F.to_json(body, {"ignoreNullFields": "false"}).alias("body"),
-    )
+        *_ID, "part", "parts", "doc_type", "title", "is_blocked", body.alias("body")
+    )
 
 
 TAG_CARRY = ("is_blocked", "spots")

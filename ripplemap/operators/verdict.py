@@ -116,25 +116,17 @@ def verdicts(reviewed: DataFrame, judge_column: str | None = None) -> DataFrame:
     )
 
 
-def impact_rows(
-    verdict_rows: DataFrame,
-    sub: DataFrame,
-    hot: DataFrame | None = None,
-    judge_column: str | None = None,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Every impacted entity of every change with tier and explanation.
+LIST = ["profile", "scope_id", "tier"]
+
 
-    The join is on (profile, scope_id); ``hot`` scopes with very many entities are spread out.
-    ``carry`` names change columns to keep on every row, which saves joining them back by change.
+def scope_entries(verdict_rows: DataFrame, sub: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Impacted entities of each scope and tier that some change refers to, with explanations.
+
+    Changes of one scope and tier have the same list, so it is made once, however many they are;
+    ``entries`` is its length. ``hot`` scopes with very many entities are spread out.
     """
-    keys = ["profile", "scope_id"]
-    judge = [judge_column] if judge_column and judge_column not in carry else []
-    wanted = verdict_rows.filter(F.col("impacted") > 0).select(
-        *keys, "change_id", "model", F.col("column"), "kind", F.col("tier"), *judge,
-        *[c for c in carry if c not in ("model", "column", "kind")],
-    )
-    joined = join_split(sub.filter(F.col("hop") > 0), wanted, hot, keys, "urn")
+    wanted = verdict_rows.filter(F.col("impacted") > 0).select(*LIST, "model", "column", "impacted").distinct()
+    joined = join_split(sub.filter(F.col("hop") > 0), wanted, hot, LIST[:2], "urn")
     target = dotted(F.col("model"), F.col("column"))
     where = F.format_string("%s, hop %d", "direction", "hop")
     name = urn_name(F.col("urn"))
@@ -145,21 +137,40 @@ def impact_rows(
               F.format_string("%s reads %s (%s); it keeps running with changed values", name, target, where))
         .otherwise(F.format_string("%s lies in reach of %s (%s)", name, target, where))
     )
+    return joined.select(
+        *LIST, "urn", name.alias("name"), urn_platform(F.col("urn")).alias("platform"), "direction", "hop",
+        why.alias("why"), F.col("impacted").alias("entries"),
+    )
+
+
+def hot_lists(entries: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    return hot_keys(entries.groupBy(*LIST).agg(F.count(F.lit(1)).alias("n")), LIST, "n", rows_per_shard)
+
+
+def impact_rows(
+    verdict_rows: DataFrame,
+    entries: DataFrame,
+    hot: DataFrame | None = None,
+    judge_column: str | None = None,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every impacted entity of every change with tier and explanation: ``scope_entries`` exploded.
+
+    ``hot`` comes from ``hot_lists``. ``carry`` names change columns to keep on every row, which saves
+    joining them back by change.
+    """
+    judge = [judge_column] if judge_column else []
+    own = dict.fromkeys([*LIST, "change_id", "kind", *judge, *carry])
+    wanted = verdict_rows.filter(F.col("impacted") > 0).select(*own)
+    joined = join_split(entries.drop("entries"), wanted, hot, LIST, "urn")
+    why = F.col("why")
     if judge_column:
-        why = F.when(F.col("kind") == K.LOGIC, F.coalesce(judged_text(F.col(judge_column), K.JUDGE_CHARS), why)).otherwise(why)
+        text = judged_text(F.col(judge_column), K.JUDGE_CHARS)
+        why = F.when(F.col("kind") == K.LOGIC, F.coalesce(text, why)).otherwise(why)
     return joined.select(
-        "profile",
-        "change_id",
-        "scope_id",
-        "urn",
-        name.alias("name"),
-        urn_platform(F.col("urn")).alias("platform"),
-        "direction",
-        "hop",
-        "tier",
-        why.alias("why"),
-        *carry,
-    )
+        "profile", "change_id", "scope_id", "urn", "name", "platform", "direction", "hop", "tier",
+        why.alias("why"), *carry,
+    )
 
 
 def worst_tier(impacts: DataFrame) -> DataFrame:

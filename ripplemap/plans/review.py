@@ -135,11 +135,13 @@ class Review:
         )
         return stored(covered, "coverage")
 
+    @cached_property
+    def hot_targets(self) -> DataFrame | None:
+        return if_any(verdict.hot_targets(self.targets, self.rows_per_shard))
+
     @cached_property
     def reviewed(self) -> DataFrame:
-        n = self.rows_per_shard
-        hot = if_any(verdict.hot_targets(self.targets, n))
-        joined = verdict.changes_with(self.changes, self.coverage, hot)
+        joined = verdict.changes_with(self.changes, self.coverage, self.hot_targets)
         return cov.with_override(joined, self.overrides)
 
     @cached_property
@@ -155,11 +157,21 @@ class Review:
     def impacts(self) -> DataFrame:
         return self.impacts_of(self.verdict_table)
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """One list for each scope and tier; changes refer to it."""
+        hot = if_any(verdict.hot_scopes(self.subgraph, self.rows_per_shard))
+        return stored(verdict.scope_entries(self.verdict_table, self.subgraph, hot), "entries")
+
+    @cached_property
+    def hot_lists(self) -> DataFrame | None:
+        return if_any(verdict.hot_lists(self.entries, self.rows_per_shard))
+
     def impacts_of(self, verdict_rows: DataFrame) -> DataFrame:
-        n = self.rows_per_shard
-        sub = self.subgraph
-        hot = if_any(verdict.hot_scopes(sub, n))
-        return verdict.impact_rows(verdict_rows, sub, hot, self.judge_column, self.carry)
+        """Impact rows of some or all of this review's verdicts."""
+        return verdict.impact_rows(
+            verdict_rows, self.entries, self.hot_lists, self.judge_column, self.carry
+        )
 
     @cached_property
     def edits(self) -> DataFrame:
@@ -184,7 +196,9 @@ class Review:
 
     @cached_property
     def bodies(self) -> DataFrame:
-        return dec.body_parts(self.decisions, self.impacts, self.edits, self.checks)
+        """Decision bodies. A judge's text differs by change, so that lists are then made for each."""
+        lists = dec.entry_lists(self.entries) if self.judge_column is None else None
+        return dec.body_parts(self.decisions, self.impacts, self.edits, self.checks, lists=lists)
 
     @cached_property
     def documents(self) -> DataFrame:

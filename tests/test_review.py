@@ -94,6 +94,12 @@ def test_body_parts_hold_every_impact(review):
         return sorted(map(tuple, rows.collect()))
 
     assert listed(parts) == listed(whole)
+    columns = ["profile", "change_id", "part", "parts", "body"]
+    for n, made in ((1000, whole), (2, parts)):
+        lists = dec.entry_lists(review.entries, n)
+        shared = dec.body_parts(review.decisions, review.impacts, review.edits, review.checks, n, lists)
+        got = sorted(map(tuple, shared.select(*columns).collect()))
+        assert got == sorted(map(tuple, made.select(*columns).collect()))
     assert parts.count() > whole.count()
     body = whole.filter("change_id = 4 AND profile = 'full'").select(F.from_json("body", schema).alias("b"))
     read = body.first()["b"]
