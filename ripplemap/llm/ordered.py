@@ -1,40 +1,68 @@
-"""Global running totals over rows in the order of a key, from totals of contiguous ranges."""
+"""Global running totals over rows in the order of a key, from totals of contiguous ranges.
+
+Ranges are cut by the key and then by ``tie``, a hash of the row and its place in the input, so that
+no key is too common to be cut, nor any row too often repeated.
+"""
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NULL = -(2**63)
 
-def cuts(keys: DataFrame, rows_per_range: int) -> list[int]:
-    """Keys that cut ``keys`` (one column, ``key``) into ranges of about that many rows.
 
-    One long a range comes to the driver.
-    """
-    n = math.ceil(keys.count() / rows_per_range)
-    shares = [k / n for k in range(1, n)]
-    if not shares:
-        return []
-    found = keys.agg(F.percentile_approx("key", shares, 100 * n)).first()[0]
-    return sorted(set(found or []))
+class Bounds(NamedTuple):
+    """First keys and ties of all ranges but the first."""
+
+    keys: np.ndarray
+    ties: np.ndarray
+
+    @property
+    def ranges(self) -> int:
+        return len(self.keys) + 1
 
 
-def range_of(keys: pa.Array, bounds: list[int]) -> np.ndarray:
-    """The range of each key; null keys come first."""
-    own = keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-    return np.searchsorted(np.array(bounds, np.int64), own, "right").astype(np.int32)
+def tie(*columns: str) -> Column:
+    return F.xxhash64(*columns, F.monotonically_increasing_id()).alias("tie")
 
 
-def in_ranges(rows: DataFrame, bounds: list[int], *order: str) -> DataFrame:
-    """Rows with a column ``part``, one partition a range, each sorted by ``order``.
+def cuts(rows: DataFrame, rows_per_range: int) -> Bounds:
+    """Bounds that cut ``rows`` (columns ``key`` and ``tie``) into ranges of about that many rows.
 
-    Partitions are streamed afterwards, so that a key of very many rows needs no memory.
+    Spark samples and deals the two numbers of each row; one row a range comes to the driver.
     """
-    return rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order)
+    n = math.ceil(rows.count() / rows_per_range)
+    if n < 2:
+        return Bounds(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    own = rows.select(F.coalesce("key", F.lit(NULL)).alias("key"), "tie")
+    dealt = own.repartitionByRange(n, "key", "tie").groupBy(F.spark_partition_id().alias("part"))
+    first = dealt.agg(F.min(F.struct("key", "tie")).alias("f")).select("f.*").collect()
+    first = sorted((r["key"], r["tie"]) for r in first)[1:]
+    return Bounds(*(np.array([f[k] for f in first], np.int64) for k in (0, 1)))
+
+
+def range_of(keys: pa.Array, ties: pa.Array, bounds: Bounds) -> np.ndarray:
+    """The range of each row; null keys come first."""
+    own = keys.fill_null(NULL).to_numpy(zero_copy_only=False)
+    low, high = (np.searchsorted(bounds.keys, own, side) for side in ("left", "right"))
+    out, tie_of = low.copy(), ties.to_numpy()
+    at = np.flatnonzero(high > low)  # rows of a key at which some range begins
+    for key in np.unique(own[at]):
+        rows = at[own[at] == key]
+        a, b = low[rows[0]], high[rows[0]]
+        out[rows] = a + np.searchsorted(bounds.ties[a:b], tie_of[rows], "right")
+    return out.astype(np.int32)
+
+
+def in_ranges(rows: DataFrame, bounds: Bounds, *order: str) -> DataFrame:
+    """Rows with a column ``part``, one partition a range, each sorted by ``order``."""
+    return rows.repartitionById(bounds.ranges, F.col("part")).sortWithinPartitions(*order)
 
 
 def before(totals: DataFrame, *columns: str) -> dict[int, tuple[int, ...]]:

@@ -1,9 +1,12 @@
 """Quality rules: per-document rules, then verdicts on whole hosts.
 
-Rule failures are counted by host. A host's failure rate is shrunk towards the rate of all hosts by
-a beta prior fitted to them (method of moments), so that a host of few documents is judged by the
-others more than by itself. A host whose shrunk rate is over ``max_host_rate`` loses all its
-documents. Only built-in functions are used and no text is shuffled.
+Failures are counted by host and rule, also of rules that decide on no document alone (``RULES``). For
+each rule, a host's rate is shrunk towards the rate of all documents by a beta prior. The prior is
+fitted to the hosts by the method of moments, with the binomial noise of small hosts taken out, so
+that hosts which differ by chance only are judged by the others and not by themselves. A host is
+rejected where its rate lies above that of all documents by ``excess`` at least, as surely as
+``deviations`` standard deviations of its posterior say; it loses all its documents. Only built-in
+functions are used and no text is shuffled.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own;
 repeated rows are judged and counted each; an empty table gives an empty result; other columns of the
@@ -28,17 +31,35 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Limits:
-    """``min_words`` and ``max_repeat_pct`` decide on a document, ``max_host_rate`` on a host.
+    """``min_words`` and ``max_repeat_pct`` decide on a document; all of them on a host.
 
     ``prior_weights`` bounds the prior: it counts as that many documents at least and at most.
     """
 
     min_words: int = 10
     max_repeat_pct: int = 20
-    max_host_rate: float = 0.8
+    max_symbol_pct: int = 10
+    max_dup_lines: int = 5
+    excess: float = 0.25
+    deviations: float = 3.0
     prior_weights: tuple[float, float] = (1.0, 1e6)
 
 
+RULES = ("short", "repeats", "symbols", "lines")
+
+
+def failures(limits: Limits) -> dict[str, Column]:
+    """Whether a document fails each rule, from its measures; no words fail the first alone."""
+    repeats = 100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words")
+    symbols = 100 * F.col("n_symbols") > limits.max_symbol_pct * F.col("word_chars")
+    return {
+        "short": F.col("n_words") < limits.min_words,
+        "repeats": repeats,
+        "symbols": symbols,
+        "lines": F.col("n_dup_lines") > limits.max_dup_lines,
+    }
+
+
 def _covered(starts: Column) -> Column:
     """Words in windows that begin at the given positions, each word once."""
     width = F.lit(WINDOW)
@@ -123,26 +144,45 @@ def with_rules(docs: DataFrame, text: str, host: str, limits: Limits, keep: list
     found = found.select(
         "row", "host", *(F.col(nested.get(c, c)).cast("long").alias(c) for c in LONGS)
     )
-    return found.withColumn(
-        "base_failed",
-        (F.col("n_words") < limits.min_words)
-        | (100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words")),
-    )
+    rules = failures(limits)
+    return found.withColumn("base_failed", rules["short"] | rules["repeats"])
 
 
 def host_rates(judged: DataFrame, limits: Limits) -> DataFrame:
-    """``host``, ``n``, ``failed``, ``rate`` (shrunk) and ``rejected``, from stored rows."""
+    """``host``, ``n`` and ``rejected``, and of each rule ``failed_…``, ``rate_…`` (shrunk) and
+    ``bound_…``, what the rate surely exceeds; from stored rows."""
+    rules = failures(limits)
     hosts = judged.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")
+        F.count(F.lit(1)).alias("n"),
+        *(F.sum(c.cast("long")).alias(f"failed_{r}") for r, c in rules.items()),
     )
-    raw = F.col("failed") / F.col("n")
-    # One row: the mean and the variance of the hosts' rates.
-    mean, var = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
+    hosts = stored(hosts, "hosts")
+    # One row: of each rule the mean of all documents and the variance of the hosts' rates about it,
+    # weighted by documents; and the hosts, whose number is the weight of the binomial noise.
+    means = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"),
+        *((F.sum(f"failed_{r}") / F.sum("n")).alias(r) for r in RULES),
+    ).first()
+    if not means["n"]:
+        return hosts.withColumn("rejected", F.lit(False))
+
+    def spread(rule: str) -> Column:
+        return F.sum(F.col("n") * (F.col(f"failed_{rule}") / F.col("n") - means[rule]) ** 2) / means["n"]
+
+    spreads = hosts.agg(*(spread(r).alias(r) for r in RULES)).first()
     low, high = limits.prior_weights
-    mean = mean or 0.0
-    weight = high if not var else min(high, max(low, mean * (1 - mean) / var - 1))
-    rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.withColumn("rate", rate).withColumn("rejected", rate > limits.max_host_rate)
+    rejected = F.lit(False)
+    for r in RULES:
+        mean = means[r]
+        noise = mean * (1 - mean)
+        between = spreads[r] - noise * (means["hosts"] - 1) / means["n"]
+        weight = high if between <= 0 else min(high, max(low, noise / between - 1))
+        rate = (F.col(f"failed_{r}") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(weight + 1)))
+        bound = rate - F.lit(limits.deviations) * deviation
+        hosts = hosts.withColumn(f"rate_{r}", rate).withColumn(f"bound_{r}", bound)
+        rejected = rejected | (F.col(f"bound_{r}") > mean + limits.excess)
+    return hosts.withColumn("rejected", rejected)
 
 
 def judge(

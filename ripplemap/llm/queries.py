@@ -68,16 +68,28 @@ WITH d AS (
   FROM w LEFT JOIN covered USING (r)
 ), f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), flags AS (
+  SELECT source, unnest([
+    {'rule': 'short', 'bad': n_words < 10}, {'rule': 'repeats', 'bad': 100 * n_repeat_words > 20 * n_words},
+    {'rule': 'symbols', 'bad': 100 * n_symbols > 10 * word_chars}, {'rule': 'lines', 'bad': n_dup_lines > 5}]) AS f
+  FROM f
 ), h AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f GROUP BY source
-), prior AS (
-  SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM h
+  SELECT source, f.rule AS rule, count(*) AS n, count(*) FILTER (f.bad) AS failed FROM flags GROUP BY ALL
+), mean AS (
+  SELECT rule, sum(failed) / sum(n) AS mean, sum(n) AS total, count(*) AS hosts FROM h GROUP BY rule
+), spread AS (
+  SELECT rule, any_value(mean) AS mean, sum(n * (failed / n - mean) ** 2) / any_value(total)
+    - any_value(mean * (1 - mean) * (hosts - 1) / total) AS between_hosts
+  FROM h JOIN mean USING (rule) GROUP BY rule
 ), weight AS (
-  SELECT mean,
-         CASE WHEN var = 0 THEN 1e6 ELSE least(1e6, greatest(1, mean * (1 - mean) / var - 1)) END AS k
-  FROM prior
+  SELECT rule, mean, CASE WHEN between_hosts <= 0 THEN 1e6
+    ELSE least(1e6, greatest(1, mean * (1 - mean) / between_hosts - 1)) END AS k
+  FROM spread
+), rate AS (
+  SELECT source, n, k, mean, (failed + mean * k) / (n + k) AS rate FROM h JOIN weight USING (rule)
 ), verdict AS (
-  SELECT source, (failed + mean * k) / (n + k) > 0.8 AS rejected FROM h, weight
+  SELECT source, bool_or(rate - 3 * sqrt(rate * (1 - rate) / (n + k + 1)) > mean + 0.25) AS rejected
+  FROM rate GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT rejected AS kept

@@ -39,7 +39,7 @@ OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 
 @dataclass(frozen=True)
 class Scan:
-    """``sample_rows`` bounds the documents whose strings train the models."""
+    """``sample_rows`` bounds the documents whose words train the model of identifiers."""
 
     min_run: int = 20
     min_ratio: float = 10.0
@@ -110,12 +110,13 @@ def _pairs(characters: Column, pair) -> Column:
 
 
 def labelled(docs: DataFrame, text: str, key: str, scan: Scan) -> DataFrame:
-    """``label`` and ``string`` from at most ``sample_rows`` documents, chosen by a hash of the key.
+    """``label`` and ``string``: values that the fixed patterns find are labelled ``random``, words of
+    eight key characters and more outside them ``identifier``.
 
-    Values that the fixed patterns find are labelled ``random``, the words of eight key characters
-    and more outside them ``identifier``.
+    Secrets are rare, so those of all documents count, however many there are. Words are not: those of
+    at most ``sample_rows`` documents count, chosen by a hash.
     """
-    sample = bounded_sample(texts(docs, key, text), scan.sample_rows).where("text IS NOT NULL")
+    own = texts(docs, key, text).where("text IS NOT NULL")
     secret = F.concat(
         F.filter(
             F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)),
@@ -124,15 +125,11 @@ def labelled(docs: DataFrame, text: str, key: str, scan: Scan) -> DataFrame:
         F.regexp_extract_all("text", F.lit(f"({ACCESS})"), F.lit(1)),
         F.regexp_extract_all("text", F.lit(f"({HEX})"), F.lit(1)),
     )
+    some = own.where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(rest, F.lit(f"({_run(8)})"), F.lit(1))
-    both = F.array(
-        F.struct(F.lit("random").alias("label"), secret.alias("strings")),
-        F.struct(F.lit("identifier").alias("label"), words.alias("strings")),
-    )
-    return (
-        sample.select(F.explode(both).alias("x"))
-        .select("x.label", F.explode("x.strings").alias("string"))
+    return some.select(F.lit("random").alias("label"), F.explode(secret).alias("string")).union(
+        bounded_sample(own, scan.sample_rows).select(F.lit("identifier"), F.explode(words))
     )
 
 
@@ -198,7 +195,7 @@ def listed(found: Column) -> Column:
 
 
 def model_of(docs: DataFrame, text: str = "text", key: str = "doc_id", scan: Scan = Scan()):
-    """The ratios trained from the labelled strings of a bounded sample of ``docs``."""
+    """The ratios trained from the labelled strings of ``docs``."""
     return train(labelled(docs, text, key, scan), scan)
 
 

@@ -1,6 +1,7 @@
 """Contiguous shards of near equal bytes, by global prefix sums.
 
-Documents are ordered by id (null ids first; rows of one id by checksum and size). The bytes of
+Documents are ordered by id (null ids first; rows of one id by checksum,
+and then by a hash of their place in the input). The bytes of
 contiguous id ranges are summed; with the sums before each range, a running total inside it gives
 every document's place among all bytes. A document goes to the shard in which its middle byte falls
 when all bytes are cut at equal targets. So shards are contiguous, and each differs from the target
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import texts
-from ripplemap.llm.ordered import before, cuts, in_ranges, range_of
+from ripplemap.llm.ordered import before, cuts, in_ranges, range_of, tie
 from ripplemap.plans.session import stored
 
 ROWS_PER_RANGE = 250_000
@@ -38,19 +39,22 @@ def shards(
 ) -> DataFrame:
     """``key``, ``size``, ``crc`` (of the text), ``shard`` and ``slot`` (its place there)."""
     full = F.coalesce("text", F.lit(""))
+    crc = F.crc32(full.cast("binary"))
     slim = texts(docs, key, text).select(
         "key",
+        (F.shiftleft(crc, 31) + F.pmod(tie(), F.lit(1 << 31))).alias("tie"),
         (F.octet_length(full) + F.lit(OVERHEAD)).cast("long").alias("size"),
-        F.crc32(full.cast("binary")).alias("crc"),
+        crc.alias("crc"),
     )
     slim = stored(slim, "sizes")
-    bounds = cuts(slim.select("key"), rows_per_range)
+    bounds = cuts(slim.select("key", "tie"), rows_per_range)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("part", pa.array(range_of(b.column("key"), bounds)))
+            part = pa.array(range_of(b.column("key"), b.column("tie"), bounds))
+            yield b.append_column("part", part)
 
-    dealt = stored(slim.mapInArrow(deal, "key long, size long, crc long, part int"), "ranges")
+    dealt = stored(slim.mapInArrow(deal, "key long, tie long, size long, crc long, part int"), "ranges")
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     earlier = before(totals, "bytes", "n")
     total = max(1, earlier[-1][0])
@@ -74,7 +78,7 @@ def shards(
                 names=["key", "size", "crc", "shard", "index"],
             )
 
-    ordered = in_ranges(dealt, bounds, "part", "key", "crc", "size")
+    ordered = in_ranges(dealt, bounds, "part", "key", "tie")
     schema = "key long, size long, crc long, shard long, index long"
     placed = stored(ordered.mapInArrow(place, schema), "places")
     first = placed.groupBy("shard").agg(F.min("index").alias("first"))  # one row a shard

@@ -16,7 +16,7 @@ in a stream to the shared folder under a name of its own; only those that a fini
 the manifest count, so that lost executors and repeated tasks leave no trace.
 
 Defined results: a null text is encoded as an empty one and has the end id only; null keys come
-first; rows of one key are ordered by their ids; an empty table gives no file and no row; other
+first; rows of one key follow each other in any order, and may lie in several files; an empty table gives no file and no row; other
 columns play no part, whatever their names.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ripplemap.llm.common import bounded_sample, pieces, texts
 from ripplemap.llm.encoder import encoder
-from ripplemap.llm.ordered import before, cuts, in_ranges, range_of
+from ripplemap.llm.ordered import before, cuts, in_ranges, range_of, tie
 from ripplemap.plans.session import scratch, stored
 
 MAGIC = b"TOKIDS01"
@@ -86,11 +86,11 @@ def write(
     """Write the files; the manifest has ``file``, ``part``, ``documents`` and ``ids`` of each."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token_files")
-    own = texts(docs, key, text)
+    own = texts(docs, key, text, tie(text))
     definition = Path(tokenizer_file).read_text(encoding="utf8")
     trained = dictionary(own, definition, end, dictionary_rows, dictionary_size)
     shared = spark.sparkContext.broadcast((definition, trained))
-    bounds = cuts(own.select("key"), rows_per_file)
+    bounds = cuts(own.select("key", "tie"), rows_per_file)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, trained = shared.value
@@ -100,7 +100,7 @@ def write(
             raw = tokens.encode([t or "" for t in batch.column("text").to_pylist()], end)
             keys = batch.column("key")
             columns = [
-                pa.array(range_of(keys, bounds)),
+                pa.array(range_of(keys, batch.column("tie"), bounds)),
                 keys,
                 pa.array([len(r) // tokens.kind.itemsize for r in raw], pa.int64()),
                 pa.array(map(press.compress, raw), pa.binary()),

@@ -52,6 +52,30 @@ def test_token_files(docs):
     assert file.document(place).tolist() == by_key[int(file.index["key"][place])]
 
 
+@pytest.mark.parametrize("hot", [5, None])
+def test_a_key_with_a_third_of_all_rows_is_cut(docs, hot):
+    rows = [(hot, "the same text", "s")] * 200 + [(hot, f"text {i}", "s") for i in range(100)]
+    rows += [(100 + i, f"other {i} " * (i % 9), "s") for i in range(300)]
+    table = docs(rows).repartition(4)
+    manifest = tokenfile.write(table, WORD, end=2, rows_per_file=50)
+    sizes = [r["documents"] for r in manifest.collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 120
+    got = tokenfile.read(manifest).collect()
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == np.cumsum([0, *(r.n_tokens for r in order[:-1])]).tolist()
+    keys = [-1 if r.key is None else r.key for r in order]
+    assert keys == sorted(keys) and keys.count(-1 if hot is None else hot) == 300
+    placed = sharding.shards(table, 24, rows_per_range=50).collect()
+    assert len(placed) == 600
+    by_shard = {}
+    for r in placed:
+        by_shard.setdefault(r.shard, []).append(r)
+    target = sum(r.size for r in placed) / 24
+    for own in by_shard.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - target) <= max(r.size for r in placed)
+
+
 def test_token_file_dictionary_is_checked(docs, tmp_path):
     rows = [(i, t, "s") for i, t in enumerate(texts(400))]
     folder = str(tmp_path / "tok")
