@@ -87,20 +87,54 @@ _S4 = """SELECT 'covered' AS profile, {order} AS root_urn, 'down' AS dir, '*' AS
     ),
 )
 def _(d: Driver) -> DataFrame:
+    return readers.snapshot_lineage(_snapshot(d))
+
+
+def _snapshot(d: Driver) -> DataFrame:
+    """A document for each order with its lineage and a search, and one a profile with its registry."""
     order = dataset_urn(F.lit("orders"), _name("order-", F.col("l_orderkey")))
     line = dataset_urn(F.lit("lineitem"), line_name(F.col("l_orderkey"), F.col("l_linenumber")))
-    # One snapshot document per order; an order has at most seven line numbers.
-    lists = d.line_pairs().groupBy(order.alias("root")).agg(F.collect_set(line).alias("urns"))
+    # An order has at most seven line numbers, a registry one row a platform.
+    lists = d.line_pairs().groupBy(order.alias("root"), _name("order-", F.col("l_orderkey")).alias("name")).agg(
+        F.collect_set(line).alias("urns")
+    )
     keys = F.transform(
         F.sequence(F.lit(1), F.lit(3)), lambda h: F.concat("root", F.lit("|down|*|"), h.cast("string"))
     )
     docs = lists.select(
         F.lit("covered").alias("profile"),
         F.map_from_arrays(keys, F.array_repeat("urns", 3)).alias("lineage"),
+        F.create_map(F.col("name"), F.concat(F.array("root"), "urns")).alias("search"),
     )
+    record = F.struct(
+        "platform", F.col("connector").alias("lineage_connector_configured"),
+        F.col("expected").alias("expected_entity_count"), "note",
+        F.when(~F.col("hosts_consumers"), False).alias("hosts_consumers"),
+    )
+    registry = d.registry().groupBy("profile").agg(F.collect_list(record).alias("registry"))
     folder = scratch(d.spark, "snapshots")
     docs.write.json(folder)
-    return readers.snapshot_lineage(readers.snapshots(d.spark, folder, multi_line=False))
+    registry.write.mode("append").json(folder)
+    return readers.snapshots(d.spark, folder, multi_line=False)
+
+
+@query(
+    "s4_snapshot_search",
+    """SELECT 'covered' AS profile, 'order-' || l_orderkey AS query, unnest([
+  'urn:li:dataset:(urn:li:dataPlatform:lineitem,line-' || l_orderkey || '-' || l_linenumber || ',PROD)']) AS urn FROM fx_pairs
+UNION SELECT 'covered', 'order-' || l_orderkey,
+  'urn:li:dataset:(urn:li:dataPlatform:orders,order-' || l_orderkey || ',PROD)' FROM fx_pairs""",
+)
+def _(d: Driver) -> DataFrame:
+    return readers.snapshot_search(_snapshot(d))
+
+
+@query(
+    "s4_snapshot_registry",
+    "SELECT profile, platform, connector, expected, note, hosts_consumers FROM fx_registry",
+)
+def _(d: Driver) -> DataFrame:
+    return readers.snapshot_registry(_snapshot(d))
 
 
 def _cube(d: Driver) -> DataFrame:

@@ -1,18 +1,12 @@
 """Model sources, diff feeds, lineage snapshots and tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.functions.text import file_stem
 from ripplemap.sources.files import read_files
 
 DIFF_BREAK = "\ndiff --git "
-SNAPSHOT_SCHEMA = (
-    "profile string, captured_at string, "
-    "registry array<struct<platform:string,lineage_connector_configured:boolean,"
-    "expected_entity_count:bigint,note:string,hosts_consumers:boolean>>, "
-    "search map<string,array<string>>, lineage map<string,array<string>>"
-)
 
 
 def model_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,32 +43,61 @@ def diffs(spark: SparkSession, path: str, separator: str | None = DIFF_BREAK) ->
 
 
 def snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Captured catalog reads; one JSON document per file, or per line."""
-    return spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", multi_line).json(path)
+    """Captured catalog reads (profile, doc): one JSON document per file, or per line.
+
+    ``doc`` is a variant, parsed once; what is no JSON gives no row.
+    """
+    texts = spark.read.text(path, wholetext=multi_line)
+    docs = texts.select(F.try_parse_json("value").alias("doc")).filter(F.col("doc").isNotNull())
+    return docs.select(_get("doc", "$.profile", "string").alias("profile"), "doc")
+
+
+def _get(column: str, path: str, kind: str) -> Column:
+    return F.try_variant_get(column, path, kind)
+
+
+def _entries(rows: DataFrame, variant: Column, *keep: Column | str) -> DataFrame:
+    """``keep``, and ``key`` and ``value`` of each field or element of a variant column."""
+    spark = rows.sparkSession
+    inner = rows.select(*keep, variant.alias("_inner"))
+    each = inner.lateralJoin(spark.tvf.variant_explode(F.col("_inner").outer()))
+    return each.drop("_inner", "pos")
+
+
+def _lists(snapshot: DataFrame, part: str) -> DataFrame:
+    """(profile, name, urn) of a part that maps names to lists of urns."""
+    maps = _entries(snapshot, _get("doc", f"$.{part}", "variant"), "profile")
+    urns = _entries(maps, F.col("value"), "profile", F.col("key").alias("name"))
+    return urns.select("profile", "name", _get("value", "$", "string").alias("urn"))
 
 
 def snapshot_lineage(snapshot: DataFrame) -> DataFrame:
     """Rows (profile, root_urn, dir, column, hops, urn) of the keyed lineage map."""
-    keyed = snapshot.select("profile", F.explode("lineage").alias("key", "urns"))
-    part = F.split("key", r"\|")
-    return keyed.select(
+    part = F.split("name", r"\|")
+    return _lists(snapshot, "lineage").select(
         "profile",
         part[0].alias("root_urn"),
         part[1].alias("dir"),
         part[2].alias("column"),
         part[3].cast("int").alias("hops"),
-        F.explode("urns").alias("urn"),
+        "urn",
     )
 
 
+def snapshot_search(snapshot: DataFrame) -> DataFrame:
+    """Rows (profile, query, urn) of the search map."""
+    return _lists(snapshot, "search").withColumnRenamed("name", "query")
+
+
 def snapshot_registry(snapshot: DataFrame) -> DataFrame:
-    return snapshot.select("profile", F.explode("registry").alias("r")).select(
+    rows = _entries(snapshot, _get("doc", "$.registry", "variant"), "profile")
+    return rows.select(
         "profile",
-        "r.platform",
-        F.col("r.lineage_connector_configured").alias("connector"),
-        F.col("r.expected_entity_count").alias("expected"),
-        "r.note",
-        F.coalesce("r.hosts_consumers", F.lit(True)).alias("hosts_consumers"),
+        _get("value", "$.platform", "string").alias("platform"),
+        _get("value", "$.lineage_connector_configured", "boolean").alias("connector"),
+        _get("value", "$.expected_entity_count", "long").alias("expected"),
+        _get("value", "$.note", "string").alias("note"),
+        F.coalesce(_get("value", "$.hosts_consumers", "boolean"), F.lit(True)).alias("hosts_consumers"),
     )
 
 

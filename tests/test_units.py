@@ -109,12 +109,16 @@ def test_files(spark, tmp_path):
     snap = tmp_path / "snap.json"
     snap.write_text(
         '{"profile": "dark", "registry": [{"platform": "dbt", "lineage_connector_configured": true,'
-        ' "expected_entity_count": 16, "note": "n"}],\n "lineage": {"u1|down|*|1": ["u2", "u3"], "u1|up|k|2": []}}'
+        ' "expected_entity_count": 16, "note": "n"}],\n "search": {"q": ["u9"]},'
+        ' "lineage": {"u1|down|*|1": ["u2", "u3"], "u1|up|k|2": []}}'
     )
     doc = readers.snapshots(spark, str(snap))
     lineage = {tuple(r) for r in readers.snapshot_lineage(doc).collect()}
     assert lineage == {("dark", "u1", "down", "*", 1, "u2"), ("dark", "u1", "down", "*", 1, "u3")}
-    assert readers.snapshot_registry(doc).first()["hosts_consumers"]
+    assert tuple(readers.snapshot_registry(doc).first()) == ("dark", "dbt", True, 16, "n", True)
+    assert [tuple(r) for r in readers.snapshot_search(doc).collect()] == [("dark", "q", "u9")]
+    (tmp_path / "bad.json").write_text("no JSON")
+    assert readers.snapshots(spark, str(tmp_path / "bad.json")).count() == 0
     assert readers.columns_of(spark, "no_such_table") == []
 
 
