@@ -70,12 +70,11 @@ def pieces(
             yield batch.slice(start)
 
 
-def bounded_sample(docs: DataFrame, rows: int, key: str = "key", text: str = "text") -> DataFrame:
-    """At most ``rows`` rows, chosen by a hash of key and text; only hashes are sorted to find them.
-
-    Where equal rows meet the bound, as many of them as are left: any, since they are equal.
-    """
-    place = F.xxhash64(key, text)
+def bounded_sample(docs: DataFrame, rows: int, key: str = "key") -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of the key and the row's place in the input, so that no
+    key is too common to be cut; only keys are read and hashes sorted to find them."""
+    place = F.xxhash64(key, F.monotonically_increasing_id())
     last = docs.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place"))
     bound = last.first()[0]
-    return docs.where(place <= bound if bound is not None else F.lit(False)).limit(rows)
+    chosen = docs.withColumn("_place", place).where(F.col("_place") <= bound if bound is not None else F.lit(False))
+    return chosen.drop("_place").limit(rows)

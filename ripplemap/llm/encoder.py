@@ -23,7 +23,7 @@ NORMALIZERS = [
     {"type": "Lowercase"},
 ]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE = 300_000
+CACHE = 200_000
 
 # Lower-case letters that no normaliser changes.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")

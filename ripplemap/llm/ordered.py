@@ -1,7 +1,7 @@
 """Global running totals over rows in the order of a key, from totals of contiguous ranges.
 
-Ranges are cut by the key and then by ``tie``, a hash of the row and its place in the input, so that
-no key is too common to be cut, nor any row too often repeated.
+Ranges are cut by the key and then by ``tie``, a hash of the row's place in the input, so that no key is
+too common to be cut, nor any row too often repeated. Only keys are read to cut ranges.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ class Bounds(NamedTuple):
         return len(self.keys) + 1
 
 
-def tie(*columns: str) -> Column:
-    return F.xxhash64(*columns, F.monotonically_increasing_id()).alias("tie")
+def tie() -> Column:
+    return F.xxhash64(F.monotonically_increasing_id()).alias("tie")
 
 
 def cuts(rows: DataFrame, rows_per_range: int) -> Bounds:

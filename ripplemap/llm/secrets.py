@@ -116,7 +116,7 @@ def labelled(docs: DataFrame, text: str, key: str, scan: Scan) -> DataFrame:
     Secrets are rare, so those of all documents count, however many there are. Words are not: those of
     at most ``sample_rows`` documents count, chosen by a hash.
     """
-    own = texts(docs, key, text).where("text IS NOT NULL")
+    own = texts(docs, key, text)
     secret = F.concat(
         F.filter(
             F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)),
@@ -130,7 +130,7 @@ def labelled(docs: DataFrame, text: str, key: str, scan: Scan) -> DataFrame:
     words = F.regexp_extract_all(rest, F.lit(f"({_run(8)})"), F.lit(1))
     return some.select(F.lit("random").alias("label"), F.explode(secret).alias("string")).union(
         bounded_sample(own, scan.sample_rows).select(F.lit("identifier"), F.explode(words))
-    )
+    ).where("string IS NOT NULL")
 
 
 def train(samples: DataFrame, scan: Scan = Scan()) -> list[float]:

@@ -86,7 +86,7 @@ def write(
     """Write the files; the manifest has ``file``, ``part``, ``documents`` and ``ids`` of each."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token_files")
-    own = texts(docs, key, text, tie(text))
+    own = texts(docs, key, text, tie())
     definition = Path(tokenizer_file).read_text(encoding="utf8")
     trained = dictionary(own, definition, end, dictionary_rows, dictionary_size)
     shared = spark.sparkContext.broadcast((definition, trained))
@@ -96,7 +96,7 @@ def write(
         definition, trained = shared.value
         tokens = encoder(definition)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(trained))
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             raw = tokens.encode([t or "" for t in batch.column("text").to_pylist()], end)
             keys = batch.column("key")
             columns = [
