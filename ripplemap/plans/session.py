@@ -1,5 +1,7 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="ripplemap-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # this process made it
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
