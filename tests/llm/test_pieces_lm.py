@@ -4,8 +4,6 @@ import itertools
 import math
 import random
 import time
-import re
-import zlib
 from collections import Counter
 from dataclasses import replace
 
@@ -16,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain import held, words_of
 
 from ripplemap.llm import pieces_bpe, pitman_yor
 from ripplemap.llm.pitman_yor import Settings
@@ -92,15 +91,6 @@ def corpus(n=250, seed=3):
     return [*rows, rows[9]]
 
 
-def words_of(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    return [*re.findall(r"[^\x20\x09-\x0D]+", low), "\n"]
-
-
-def held(key):
-    return zlib.crc32(b"" if key is None else str(key).encode()) % 10 == 0
-
-
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 2000])
 def test_scores(docs, bucket_bytes):
     rows = corpus()

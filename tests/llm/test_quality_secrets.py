@@ -2,31 +2,12 @@
 
 import hashlib
 import random
-import re
-from collections import Counter
 
 from pyspark.sql import functions as F
+from plain import base, measures
 
 from ripplemap.llm import quality, secrets
 
-GAP = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def measures(text):
-    text = text or ""
-    words = [w for w in GAP.split(text) if w]
-    fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    counts = Counter(fives)
-    covered = {i + k for i, g in enumerate(fives) if counts[g] > 1 for k in range(5)}
-    lines = [x for x in text.split("\n") if GAP.sub("", x)]
-    return (
-        len(words),
-        sum(map(len, words)),
-        sum(c in "#*$%&|<>" for c in text),
-        len(lines) - len(set(lines)),
-        len(covered),
-    )
-
 
 def rows_of(n=60):
     rnd = random.Random(4)
@@ -100,22 +81,6 @@ def test_quality_keeps_columns_and_empty_tables(docs):
     assert quality.passing(table.limit(0)).count() == 0
 
 
-PATTERNS = [
-    (re.compile(secrets.ASSIGN.removeprefix("(?i)"), re.I | re.A), lambda m: len(m[2]) >= 6),
-    (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
-]
-
-
-def base(text):
-    return sorted(
-        (m.start(), k, m.end())
-        for k, (p, ok) in enumerate(PATTERNS)
-        for m in p.finditer(text or "")
-        if ok(m)
-    )
-
-
 def test_base_spans(docs):
     rnd = random.Random(9)
     bits = ["token", "api_key", "ApiKey", "SECRET", "=", ":", " ", "  ", "'", '"', "abcdef0123", "é",

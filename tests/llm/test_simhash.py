@@ -1,41 +1,14 @@
 """Near-duplicates against all pairs, and the parts of the search one by one."""
 
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
+from plain import slow_components, slow_fingerprint
 
 from ripplemap.llm import simhash
 
 
-def slow_fingerprint(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-
-
-def slow_components(fps, reach):
-    label = list(range(len(fps)))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= reach:
-                a, b = sorted((root(i), root(j)))
-                label[b] = a
-    return [root(i) for i in range(len(fps))]
-
-
 def near(rnd, n):
     """Fingerprints in chains and clusters, and some of random bits."""
     fps = [rnd.getrandbits(64) for _ in range(n // 4)]

@@ -11,9 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from check import duck, duck_rows, spark_rows
-from test_pieces_lm import held, words_of
-from test_quality_secrets import base, measures
-from test_simhash import slow_components, slow_fingerprint
+from plain import base, held, measures, slow_components, slow_fingerprint, words_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -166,3 +164,15 @@ def test_stages_keep_columns_and_take_odd_tables(spark):
             made = stage(spark, docs, SMALL)
             made.collect()
             assert name == corpus_pipeline.STAGES[-1][0] or made.columns == docs.columns
+
+
+def test_the_secret_stage_keeps_columns_of_any_name(spark):
+    key = hashlib.sha256(b"k").hexdigest()
+    rows = [(1, f"see {key} there", "f1", "m1", 7, True), (2, "nothing", "f2", None, None, False), (3, None, None, "m3", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string, masked string, n_chars long, some boolean")
+    made = corpus_pipeline.secret_scans(spark, docs, SMALL)
+    assert made.columns == docs.columns
+    assert sorted(map(tuple, made.collect())) == [
+        (1, "see [SECRET] there", "f1", "m1", 18, True), (2, "nothing", "f2", None, None, False),
+        (3, None, None, "m3", 1, None),
+    ]
