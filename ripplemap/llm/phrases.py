@@ -45,8 +45,8 @@ FILTER_BITS = 1 << 26
 HOT_SHARE = 2000
 BUNDLES = 4
 WORDS_A_BUCKET = 16
-MERGE_ROWS = 1_000_000
-BLOCK_BYTES = 20 << 20
+MERGE_ROWS = 400_000
+BLOCK_BYTES = 6 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: blank, 2: break
 _KIND[list(BLANKS)] = 1
