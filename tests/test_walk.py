@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from ripplemap.functions.urn import dataset_urn, expanded, key_platform, urn_platform
+from ripplemap.functions.urn import compact, dataset_urn, expanded, key_platform, urn_platform
 from ripplemap.operators import catalog, coverage, expand
 from ripplemap.operators.skew import crowded_keys
 from ripplemap.plans.session import stored
@@ -99,3 +100,47 @@ def test_platforms_are_sent_to_the_edges(spark):
     seen = catalog.visible_edges(edges, platforms)
     assert "hashpartitioning" not in seen._jdf.queryExecution().executedPlan().toString()
     assert seen.count() == 1000
+
+
+def test_edges_with_masks_are_those_of_each_profile(spark):
+    """No shuffle by edge: an edge is one row for all profiles, and the walk on them finds the same."""
+    edges, column_edges, scopes = graph(spark)
+    plain = edges.drop("profile").distinct().withColumns(
+        {f"{end}_platform": urn_platform(F.col(f"{end}_urn")) for end in ("up", "down")}
+    )
+    seen = [(p, x, p == PROFILES[0]) for p in PROFILES for x in ("land", "dbt") if (p, x) != (PROFILES[-1], "land")]
+    platforms = spark.createDataFrame(seen, "profile string, platform string, emit_inferred boolean")
+    each = catalog.visible_edges(plain, platforms)
+    masked = catalog.masked_edges(plain, platforms, PROFILES)
+    assert "hashpartitioning(src" not in masked._jdf.queryExecution().executedPlan().toString()
+    told = catalog.edges_by_profile(masked, PROFILES)
+    assert not told.isEmpty() and rows_of(told) == rows_of(each.select(*told.columns))
+    own = column_edges.drop("profile").distinct().withColumns(
+        {f"{end}_platform": urn_platform(F.col(f"{end}_urn")) for end in ("up", "down")}
+    )
+    fields = catalog.visible_edges(own, platforms)
+    ends = own.select("up_urn", "down_urn", "up_col", "down_col").distinct()
+    masked_fields = catalog.masked_edges(own, platforms, PROFILES).join(
+        ends.withColumns({"src": compact(F.col("up_urn")), "dst": compact(F.col("down_urn"))}), ["src", "dst"]
+    )
+    found = [
+        expand.reached(scopes, expand.links_of(e, PROFILES, stored), c, PROFILES, keep=stored)
+        for e, c in ((each, fields), (masked, masked_fields))
+    ]
+    assert not found[0].isEmpty() and rows_of(found[0]) == rows_of(found[1])
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_links_of_other_kinds_are_not_read(spark, monkeypatch, most):
+    """However many kinds may be told apart, the walk finds the same."""
+    edges, column_edges, scopes = graph(spark)
+    links = expand.links_of(edges, PROFILES, stored)
+    want = rows_of(expand.reached(scopes, links, column_edges, PROFILES, keep=stored))
+    monkeypatch.setattr(expand, "MOST_KINDS", most)
+    assert rows_of(expand.reached(scopes, links, column_edges, PROFILES, keep=stored)) == want
+    assert (expand._kinds(links, "src") is None) == (most < 1000)
+
+
+def test_kinds_met_from_both_sides():
+    assert expand._meeting({(0, "a"), (1, "a")}, {(0, "a"), (0, "b")}) == {(0, "a")}
+    assert expand._meeting(None, {(0, "a")}) == expand._meeting({(0, "a")}, None) == {(0, "a")}
