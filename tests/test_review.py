@@ -145,3 +145,14 @@ def test_resume_and_summary(review):
     assert all(r["resumed_from"].startswith("part/") and not r["is_blocked"] for r in again)
     lines = [r[0] for r in log.filter("change_id = 4").orderBy("profile").select(dec.summary_line()).collect()]
     assert lines == ["BREAKS, 9 impacted (2031-05-06 07:08)", "HELD, waiting for lineage of: robot, wall"]
+
+
+def test_one_change_for_each_state_puts_all_tags(review):
+    """Changes of one scope, tier and outcome tag alike, so one of them is listed."""
+    few = review.impacts_of(dec.one_per_state(review.verdict_table))
+    tags = [
+        {tuple(r) for r in dec.tag_rows(rows).select("profile", "entity_urn", "tag").collect()}
+        for rows in (review.impacts, few)
+    ]
+    assert tags[0] and tags[0] == tags[1]
+    assert few.count() < review.impacts.count()
