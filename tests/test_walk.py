@@ -141,6 +141,27 @@ def test_links_of_other_kinds_are_not_read(spark, monkeypatch, most):
     assert (expand._kinds(links, "src") is None) == (most < 1000)
 
 
+def test_stored_links_are_left_out_by_their_kind(spark):
+    """The scan is told the kinds of a hop, and edges of the same kinds lie side by side."""
+    edges, _, _ = graph(spark)
+    plain = edges.drop("profile").distinct().withColumns(
+        {f"{end}_platform": urn_platform(F.col(f"{end}_urn")) for end in ("up", "down")}
+    )
+    platforms = spark.createDataFrame(
+        [("p", "land", True), ("q", "dbt", True)], "profile string, platform string, emit_inferred boolean"
+    )
+    masked = stored(catalog.masked_edges(plain.coalesce(1), platforms, PROFILES), "masked", plain=("src", "dst"))
+    pairs = [(r["src_kind"], r["dst_kind"]) for r in masked.collect()]
+    assert len(set(pairs)) > 1 and sum(a != b for a, b in zip(pairs, pairs[1:])) == len(set(pairs)) - 1
+    for once in (masked, edges):
+        links = expand.links_of(once, PROFILES, stored)
+        few = expand._of_kinds(links, "src", {(0, "dbt"), (1, "land")})
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(src_kind,dbt)" in plan and "EqualTo(dst_kind,land)" in plan
+        want = links.where("(way = 0 AND src LIKE 'dbt,%') OR (way = 1 AND src LIKE 'land,%')")
+        assert not few.isEmpty() and rows_of(few) == rows_of(want)
+
+
 def test_kinds_met_from_both_sides():
     assert expand._meeting({(0, "a"), (1, "a")}, {(0, "a"), (0, "b")}) == {(0, "a")}
     assert expand._meeting(None, {(0, "a")}) == expand._meeting({(0, "a")}, None) == {(0, "a")}
