@@ -257,6 +257,23 @@ def test_one_file_a_document_and_only_finished_writes_are_read(spark, tmp_path):
     assert files.read_files(spark, f"{path}-none").count() == 0
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver knows of lists only, and a task reads no more than one of them."""
+    monkeypatch.setattr(files, "LIST_FILES", 5)
+    monkeypatch.setattr(files, "BATCH_BYTES", 8)
+    rows = [(f"d{k % 3}/doc-{k}.{'sql' if k % 2 else 'txt'}", "é" * (k % 4)) for k in range(60)]
+    df = spark.createDataFrame(rows, "file string, line string").repartition(2)
+    path = f"file://{tmp_path}/out"
+    files.write_files(df, path, [], ending="")
+    found = files.read_files(spark, path)
+    assert found.inputFiles() == [] and 12 <= found.rdd.getNumPartitions() <= 12 + 4
+    want = {f: t for f, t in rows if t}  # as with Spark's own readers, an empty file gives no row
+    assert {r["path"]: r["text"] for r in found.collect()} == want and found.count() == len(want)
+    names = files.read_files(spark, path, "*.sql", texts=False)
+    assert sorted(r["path"] for r in names.collect()) == sorted(f for f in want if f.endswith(".sql"))
+    assert names.columns == ["path"]
+
+
 @pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.87, 1.0])
 def test_seeded_share(spark, share):
     from hashlib import md5
