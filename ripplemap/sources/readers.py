@@ -21,16 +21,19 @@ def model_sources(spark: SparkSession, folder: str) -> DataFrame:
 def written_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The same from a folder that ``files.write_files`` wrote: relative paths, finished writes only."""
     found = read_files(spark, folder, "*.sql")
-    return one_per_stem(found.withColumnRenamed("text", "sql_text"))
+    paths = read_files(spark, folder, "*.sql", texts=False)
+    return one_per_stem(found.withColumnRenamed("text", "sql_text"), paths)
 
 
-def one_per_stem(files: DataFrame) -> DataFrame:
+def one_per_stem(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """The file with the smallest path for each model name, so the pick is stable.
 
-    Only paths are grouped; the text follows in a join, not through the aggregation.
+    Only paths are grouped; the text follows in a join, not through the aggregation. ``paths`` are
+    those of ``files``, where they can be had without the texts.
     """
     named = files.withColumn("name", file_stem(F.col("path")))
-    first = named.groupBy("name").agg(F.min("path").alias("path"))
+    own = named if paths is None else paths.withColumn("name", file_stem(F.col("path")))
+    first = own.groupBy("name").agg(F.min("path").alias("path"))
     return named.join(first, ["name", "path"]).dropDuplicates(["name", "path"])
 
 
