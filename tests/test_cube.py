@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from ripplemap.operators import cube, search
+from ripplemap.operators import catalog, cube, search
 from ripplemap.plans.session import stored
 
 PROFILES = ["p", "q", "r"]
@@ -137,3 +137,18 @@ def test_only_what_is_asked_is_built(spark, graph):
     columns = requests.selectExpr("profile", "root_urn", "dir", "'k' AS column", "hops")
     assert cube.asked_distances(columns, None, c).columns == [*cube.REQUEST, "urn", "d"]
     assert cube.asked_distances(requests.limit(0), None, None).count() == 0
+
+
+def test_asked_closures_of_masked_edges(spark):
+    """Edges stored once for all profiles give what a row for each profile gives."""
+    rows = [("a,1", "b,2", 1), ("b,2", "c,3", 3), ("c,3", "d,4", 2), ("a,1", "c,3", 2), ("b,2", "c,3", 2)]
+    masked = spark.createDataFrame(rows, "src string, dst string, mask long").selectExpr(
+        "*", "'k' AS up_col", "'k' AS down_col", "'x' AS up_platform", "'x' AS down_platform", "'parsed' AS provenance"
+    )
+    plain = catalog.edges_by_profile(masked, ["p", "q"]).selectExpr("*", "'k' AS up_col", "'k' AS down_col")
+    urns = sorted({r["up_urn"] for r in plain.collect()} | {r["down_urn"] for r in plain.collect()})
+    asked = [(p, u, way, c, h) for p in "pq" for u in urns for way in ("down", "up") for c in "*k" for h in (1, 2)]
+    requests = spark.createDataFrame(asked, "profile string, root_urn string, dir string, column string, hops int")
+    want = cube.asked_distances(requests, plain, plain, stored)
+    got = cube.asked_distances(requests, masked, masked, stored, profiles=["p", "q"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
